@@ -26,7 +26,7 @@ def key_profile(
     probs: tuple[float, ...] = (0.5,),
     *,
     min_share: float = 0.0,
-    bins: int = 1024,
+    bins: int = 256,
 ) -> DataFrame:
     """For each key: ``n`` (rows), ``n_values`` (rows with a value), and ``q0``, ``q1``, ... at ``probs``.
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.plans.staging import ship
+
 
 def _starts(columns: list[pa.Array]) -> np.ndarray:
     """Where a row differs from the one before it; the first always does."""
@@ -84,6 +86,7 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, position
     repeated rows count each. A null group value is a group of its own. Use ``desc_nulls_last`` and the like to place
     nulls. An empty input gives an empty result; further columns pass through. ``n`` below 1 gives no rows.
     """
+    ship(df.sparkSession)
     names = [*group, *[c for c in df.columns if c not in group]]
     ordered = df.select(*names)
     keys = [*[F.col(f"`{g}`").asc_nulls_first() for g in group], *order]
