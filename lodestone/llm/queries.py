@@ -7,10 +7,38 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.leakage import leaks
 from lodestone.llm.mixing import Mixture, mix
+from lodestone.llm.provenance import foreign_files
 from lodestone.llm.subjects import assign_subjects
+from lodestone.llm.validity import check_files, validity_rates
 from lodestone.sources.tables import table
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "repo_files").select("repo_id", "file_id", "path", "contents", "scanned_at")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_files(_files(spark, sf_dir)).where("not valid").select("repo_id", "file_id")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity_rates(_files(spark, sf_dir), table(spark, sf_dir, "region_languages"))
+
+
+def p4_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All errors of the invalid files, the first cause first, and the languages that accept the text."""
+    return check_files(_files(spark, sf_dir)).where("not valid").drop("valid")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foreign_files(_files(spark, sf_dir), table(spark, sf_dir, "repository")).select("repo_id", "file_id")
+
+
+def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each kind that weren't written by hand, by extension."""
+    return foreign_files(_files(spark, sf_dir), table(spark, sf_dir, "repository")).groupBy("extension", "kind").agg(F.count(F.lit(1)).alias("files"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"))
     return found.where("verbatim").select("doc_id", "item_id")
@@ -49,7 +77,7 @@ def p8_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_report, p7_drawn, p7_shares, p8_found, p8_makeup)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p4_errors, p5_found, p5_kinds, p6_found, p6_report, p7_drawn, p7_shares, p8_found, p8_makeup)}
 
 #: The words of a text, as a DuckDB list.
 _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
