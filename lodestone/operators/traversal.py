@@ -9,12 +9,97 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.staging import stage
+from lodestone.plans.staging import join_small, ship, stage
 
 KEY = ["repo_id", "id"]
+#: A repository with at most this many edges is searched inside one task, which then holds a few tens of MB; a larger one by
+#: rounds over all tasks. Both ways give the same rows.
+LOCAL_EDGES = 100_000
+
+
+def _by_size(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Staged edges of repositories with at most ``most`` of them, and those of the others."""
+    edges = stage(edges)
+    large = edges.groupBy("repo_id").count().where(F.col("count") > most).select("repo_id")
+    salt = ["source_id", "target_id"]
+    return join_small(edges, large, ["repo_id"], "left_anti", salt=salt), join_small(edges, large, ["repo_id"], "left_semi", salt=salt)
+
+
+def _frame(edges: pd.DataFrame, ids: list[str], name: str, values: list[str]) -> pd.DataFrame:
+    """Rows of one repository; typed, also when there are none."""
+    return pd.DataFrame(
+        {"repo_id": pd.Series([edges["repo_id"].iloc[0]] * len(ids), dtype="int64"), "id": pd.Series(ids, dtype="object"), name: pd.Series(values, dtype="object")}
+    )
+
+
+def _local_components(edges: pd.DataFrame) -> pd.DataFrame:
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(edges["source_id"], edges["target_id"]):
+        parent.setdefault(a, a)
+        parent.setdefault(b, b)
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    return _frame(edges, ids, "component", [root(x) for x in ids])
+
+
+def _local_cycles(edges: pd.DataFrame) -> pd.DataFrame:
+    """Strong components of more than one node, without recursion."""
+    out: dict[str, list[str]] = {}
+    for a, b in zip(edges["source_id"], edges["target_id"]):
+        out.setdefault(a, []).append(b)
+    order: dict[str, int] = {}
+    low: dict[str, int] = {}
+    stack: list[str] = []
+    held: set[str] = set()
+    ids: list[str] = []
+    names: list[str] = []
+    for start in out:
+        if start in order:
+            continue
+        work = [(start, iter(out[start]))]
+        order[start] = low[start] = len(order)
+        stack.append(start)
+        held.add(start)
+        while work:
+            at, ways = work[-1]
+            for to in ways:
+                if to not in order:
+                    order[to] = low[to] = len(order)
+                    stack.append(to)
+                    held.add(to)
+                    work.append((to, iter(out.get(to, ()))))
+                    break
+                if to in held:
+                    low[at] = min(low[at], order[to])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[at])
+                if low[at] == order[at]:
+                    whole = []
+                    while True:
+                        x = stack.pop()
+                        held.discard(x)
+                        whole.append(x)
+                        if x == at:
+                            break
+                    if len(whole) > 1:
+                        ids += whole
+                        names += [min(whole)] * len(whole)
+    return _frame(edges, ids, "cycle", names)
 
 
 def reach(edges: DataFrame, roots: DataFrame, *, group: list[str] | None = None, most: int | None = None) -> DataFrame:
@@ -40,13 +125,19 @@ def reach(edges: DataFrame, roots: DataFrame, *, group: list[str] | None = None,
     return reduce(DataFrame.unionByName, parts)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """Weak components of the nodes that edges touch: (repo_id, id, component), named by their least id.
 
-    Least labels spread along edges in both directions and jump to the label's own label, so that rounds grow with the
+    In repositories of more than ``local`` edges least labels spread along edges in both directions and jump to the label's own label, so that rounds grow with the
     logarithm of the diameter rather than with it. A node whose only edge is a loop is a component of its own.
     """
-    both = edges.select("repo_id", F.col("source_id").alias("id"), F.col("target_id").alias("other")).where("id is not null and other is not null")
+    ship(edges.sparkSession)
+    pairs = edges.select("repo_id", "source_id", "target_id").where("repo_id is not null and source_id is not null and target_id is not null").distinct()
+    small, large = _by_size(pairs, local)
+    near_ones = small.groupBy("repo_id").applyInPandas(_local_components, "repo_id bigint, id string, component string")
+    both = large.select("repo_id", F.col("source_id").alias("id"), F.col("target_id").alias("other"))
+    if not large.limit(1).count():
+        return near_ones
     both = stage(both.unionByName(both.select("repo_id", F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
     labels = stage(both.groupBy(*KEY).agg(F.least(F.col("id"), F.min("other")).alias("label")))
     while True:
@@ -64,7 +155,7 @@ def components(edges: DataFrame) -> DataFrame:
         changed = moved.where("label < old").limit(1).count()
         labels = moved.drop("old")
         if not changed:
-            return labels.withColumnRenamed("label", "component")
+            return labels.withColumnRenamed("label", "component").unionByName(near_ones)
 
 
 def _trim(edges: DataFrame) -> DataFrame:
@@ -82,17 +173,20 @@ def _trim(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def cycles(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """Strongly connected components that hold a cycle: (repo_id, id, cycle), named by their least id.
 
-    A component has more than one node, or one with an edge to itself. Edges that can't lie on a cycle are trimmed; then
-    every node takes the least id that leads to it, and the nodes of that colour which lead back to the id are its
+    A component has more than one node, or one with an edge to itself. In repositories of more than ``local`` edges those
+    that can't lie on a cycle are trimmed; then every node takes the least id that leads to it, and the nodes of that colour which lead back to the id are its
     component. These leave, and the rest goes on until no edge is left.
     """
-    pairs = edges.select("repo_id", "source_id", "target_id").where("source_id is not null and target_id is not null").distinct()
-    loops = stage(pairs.where("source_id = target_id").select("repo_id", F.col("source_id").alias("id")))
-    rest = _trim(pairs.where("source_id != target_id"))
-    found = []
+    ship(edges.sparkSession)
+    pairs = edges.select("repo_id", "source_id", "target_id").where("repo_id is not null and source_id is not null and target_id is not null").distinct()
+    small, large = _by_size(pairs, local)
+    loops = small.unionByName(large).where("source_id = target_id").select("repo_id", F.col("source_id").alias("id"))
+    inner = small.where("source_id != target_id").groupBy("repo_id").applyInPandas(_local_cycles, "repo_id bigint, id string, cycle string")
+    rest = _trim(large.where("source_id != target_id"))
+    found = [stage(inner)]
     while rest.limit(1).count():
         nodes = rest.select("repo_id", F.col("source_id").alias("id")).unionByName(rest.select("repo_id", F.col("target_id").alias("id"))).distinct()
         colours = stage(nodes.withColumn("colour", F.col("id")))
@@ -124,7 +218,7 @@ def cycles(edges: DataFrame) -> DataFrame:
                 gone.withColumnRenamed("id", "target_id"), ["repo_id", "target_id"], "left_anti"
             )
         )
-    many = reduce(DataFrame.unionByName, found) if found else loops.limit(0).withColumn("cycle", F.col("id"))
+    many = reduce(DataFrame.unionByName, found)
     alone = loops.join(many, KEY, "left_anti").withColumn("cycle", F.col("id"))
     return many.unionByName(alone)
 
