@@ -94,15 +94,15 @@ def gram_times(vectors: DataFrame, x: np.ndarray, weigh) -> np.ndarray:
     return out
 
 
-def randomised_svd(vectors: DataFrame, terms: int, rank: int, weigh, *, over: int = 8, power: int = 1, seed: int = 7) -> np.ndarray:
-    """The right singular vectors (terms x at most ``rank``) of the largest singular values, scaled to unit length.
+def randomised_svd(vectors: DataFrame, terms: int, rank: int, weigh, *, over: int = 8, power: int = 1, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The right singular vectors (terms x at most ``rank``) of the largest singular values, at unit length, and the values.
 
     Randomised range finder with ``over`` extra columns and ``power`` further passes; passes over the data: power + 2.
     """
     if terms > MOST_TERMS:
         raise ValueError(f"{terms} terms; at most {MOST_TERMS} can be sent to the executors")
     if terms == 0:
-        return np.zeros((0, 0), dtype=np.float32)
+        return np.zeros((0, 0), dtype=np.float32), np.zeros(0)
     size = min(rank + over, terms)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, size)))[0]
     for _ in range(power + 1):
@@ -111,7 +111,7 @@ def randomised_svd(vectors: DataFrame, terms: int, rank: int, weigh, *, over: in
     values, turn = np.linalg.eigh((inner + inner.T) / 2)
     order = np.argsort(values)[::-1][: min(rank, size)]
     order = order[values[order] > max(values.max(), 0) * 1e-9]
-    return (q @ turn[:, order]).astype(np.float32)
+    return (q @ turn[:, order]).astype(np.float32), np.sqrt(values[order])
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.plans.staging import join_small, ship, stage
+from lodestone.plans.staging import join_small, ship, spread, stage
 
 #: Vocabulary of the byte-level BPE that token counts are measured in: lines of base64 token and rank.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -60,7 +60,7 @@ def count_tokens(documents: DataFrame, doc_id: str, source: str, text: str, toke
     picked = documents.select(
         F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.lower(F.trim(F.col(f"`{source}`"))).alias("source"), F.col(f"`{text}`").alias("text")
     )
-    return picked.mapInArrow(run, "doc_id bigint, source string, tokens bigint")
+    return spread(picked).mapInArrow(run, "doc_id bigint, source string, tokens bigint")
 
 
 def plan(targets: list[tuple[str, float, int]], available: dict[str, int], total: int | None = None, lean: float = LEAN) -> tuple[int, dict[str, dict]]:
