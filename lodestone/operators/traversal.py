@@ -102,14 +102,51 @@ def _local_cycles(edges: pd.DataFrame) -> pd.DataFrame:
     return _frame(edges, ids, "cycle", names)
 
 
-def reach(edges: DataFrame, roots: DataFrame, *, group: list[str] | None = None, most: int | None = None) -> DataFrame:
+def _local_reach(most: int | None):
+    def run(roots: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list[str]] = {}
+        for a, b in zip(edges["source_id"], edges["target_id"]):
+            out.setdefault(a, []).append(b)
+        depth = dict.fromkeys(roots["id"], 0)
+        frontier, level = list(depth), 0
+        while frontier and (most is None or level < most):
+            level += 1
+            new = []
+            for a in frontier:
+                for b in out.get(a, ()):
+                    if b not in depth:
+                        depth[b] = level
+                        new.append(b)
+            frontier = new
+        repo = roots["repo_id"].iloc[0] if len(roots) else 0
+        return pd.DataFrame({"repo_id": pd.Series([repo] * len(depth), dtype="int64"), "id": pd.Series(list(depth), dtype="object"), "depth": pd.Series(list(depth.values()), dtype="int32")})
+
+    return run
+
+
+def reach(edges: DataFrame, roots: DataFrame, *, group: list[str] | None = None, most: int | None = None, local: int = LOCAL_EDGES) -> DataFrame:
     """Nodes reachable from ``roots`` (repo_id, id and ``group`` columns) with their least ``depth``; roots have depth 0.
 
+    Without groups a repository of at most ``local`` edges is searched inside one task; all others go level by level over
+    all tasks.
+
     With ``group`` columns each group is a search of its own. Cycles end by themselves; ``most`` bounds the depth. Edges
     with null ends lead nowhere, repeated roots count once, and no roots give no rows.
     """
     group = group or []
     on = [*group, *KEY]
+    if not group and local > 0:
+        ship(edges.sparkSession)
+        pairs = edges.select("repo_id", "source_id", "target_id").where("repo_id is not null and source_id is not null and target_id is not null").distinct()
+        small, large = _by_size(pairs, local)
+        good = roots.select(*KEY).where("repo_id is not null and id is not null").distinct()
+        repos = large.select("repo_id").distinct()
+        inner = join_small(good, repos, ["repo_id"], "left_anti", salt=["id"]).groupBy("repo_id").cogroup(small.groupBy("repo_id"))
+        near = inner.applyInPandas(_local_reach(most), "repo_id bigint, id string, depth int")
+        if not large.limit(1).count():
+            return near
+        far = reach(large, join_small(good, repos, ["repo_id"], "left_semi", salt=["id"]), most=most, local=0)
+        return near.unionByName(far)
     frontier = stage(roots.select(*on).where("repo_id is not null and id is not null").distinct().withColumn("depth", F.lit(0)))
     parts, depth = [frontier], 0
     seen = frontier

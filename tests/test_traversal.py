@@ -74,15 +74,16 @@ def test_long_chain_and_cycle(spark):
     assert {r.component for r in components(short, 0).collect()} == {"00000"}
 
 
-def test_reach(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_reach(spark, local):
     df = graph(spark, "r>a a>b b>a b>c x>c")
     roots = spark.createDataFrame([(1, "r"), (1, "r"), (1, "x")], "repo_id bigint, id string")
-    got = {r.id: r.depth for r in reach(df, roots).collect()}
+    got = {r.id: r.depth for r in reach(df, roots, local=local).collect()}
     assert got == {"r": 0, "x": 0, "a": 1, "c": 1, "b": 2}
-    assert rows(reach(df, roots.limit(0))) == []
+    assert rows(reach(df, roots.limit(0), local=local)) == []
     apart = spark.createDataFrame([(1, "r", "g"), (1, "x", "h")], "repo_id bigint, id string, of string")
     assert {(r.of, r.id) for r in reach(df, apart, group=["of"]).collect()} == {("g", x) for x in "rabc"} | {("h", "x"), ("h", "c")}
-    assert {r.id for r in reach(df, roots, most=1).collect()} == {"r", "x", "a", "c"}
+    assert {r.id for r in reach(df, roots, most=1, local=local).collect()} == {"r", "x", "a", "c"}
 
 
 def test_levels(spark):
