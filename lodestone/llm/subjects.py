@@ -4,7 +4,8 @@
    taken off, so that what is left tells subjects apart.
 2. Seed centroids, one for each subject and language, come from documents with a single hand label and from the subjects'
    descriptions. They are refined: documents clearly nearest to a centroid by cosine move it, the seeds holding on to it.
-3. Terms get their cosine with the centroids. Sentences with clear terms then tell, term by term, how often the rest of a
+3. Terms get their cosine with the centroids; a clear one must also occur more in documents of its subject than elsewhere.
+   Sentences with clear terms then tell, term by term, how often the rest of a
    sentence is on a subject: a term is ``strong`` for a subject when most sentences with it are, ``weak`` when it leans
    to the subject though it has other uses. This is done twice, the second time from clear terms that turned out strong.
 4. A sentence is about the subject it scores highest on, if it has two mentions (runs of adjacent terms) of it, one of
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.latent import gram_times, project, randomised_svd, unit
-from lodestone.plans.staging import ship, stage
+from lodestone.llm.latent import project, randomised_svd, unit
+from lodestone.plans.staging import ship, spread, stage
 
 WORD = re.compile(r"[^\W\d_]+")
 CAMEL = re.compile(r"(?<=[a-zß-ÿ])(?=[A-Z])")
@@ -39,14 +40,16 @@ LINKS = ("of", "de", "del", "la", "al", "der", "des")
 #: Codes of languages by their other notations.
 LANGUAGES = {"eng": "en", "english": "en", "deu": "de", "ger": "de", "german": "de", "spa": "es", "spanish": "es", "fra": "fr", "fre": "fr"}
 
-RANK = 160
+RANK = 128
 MIN_SHARE = 5e-4
 MIN_DOCS = 3
 #: A language needs this share of the documents to have centroids of its own.
 LANGUAGE_SHARE = 0.005
+#: Labelled documents that a subject must have in a language for a centroid there: fewer may have anything else in common.
+MIN_SEEDS = 3
 #: Cosine, and its lead over the next subject, from which a document moves a centroid.
 NEAR, LEAD = 0.5, 0.2
-ROUNDS = 3
+ROUNDS = 2
 #: Share of a centroid's best terms' cosine from which a term is clear.
 CLEAR = 0.6
 #: Share of all sentences with a term that are on the subject from which it is strong, and the least such share of a weak one.
@@ -74,26 +77,33 @@ def language(lang):
     return F.when(plain != "", out)
 
 
-def vocabulary_of(documents: DataFrame, min_share: float) -> tuple[list[str], np.ndarray, int]:
-    """Terms, their document counts, and the number of documents."""
+def vocabulary_of(documents: DataFrame, langs: list[str], min_share: float) -> tuple[list[str], np.ndarray]:
+    """Terms, and their inverse document frequencies in each language and, in the last row, overall."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms = [sorted({w for s in sentences(t) for w in s}) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.string()))], names=["terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(terms, pa.list_(pa.string()))], names=["lang", "terms"])
 
-    total = documents.count()
-    least = max(MIN_DOCS, int(np.ceil(min_share * total)))
-    counted = documents.select("text").mapInArrow(run, "terms array<string>").select(F.explode("terms").alias("term")).groupBy("term").count()
-    kept = counted.where(F.col("count") >= least).orderBy("term").toPandas()
-    return kept["term"].tolist(), kept["count"].to_numpy(dtype=np.int64), total
+    sizes = [F.count_if(F.col("lang") == g).alias(f"n{i}") for i, g in enumerate(langs)]
+    totals = documents.agg(*sizes, F.count(F.lit(1)).alias("n")).first()
+    least = max(MIN_DOCS, int(np.ceil(min_share * totals["n"])))
+    found = documents.select("lang", "text").mapInArrow(run, "lang string, terms array<string>").select("lang", F.explode("terms").alias("term"))
+    kept = found.groupBy("term").agg(*sizes, F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy("term").toPandas()
+    counts = kept.drop(columns="term").to_numpy(dtype=np.float64).T
+    idf = np.log((1 + np.array(tuple(totals)))[:, None] / (1 + counts))
+    return kept["term"].tolist(), np.minimum(idf, idf[-1])  # a word of another language isn't telling
 
 
 class Weigher:
-    """Unit TF-IDF vectors of coded documents (ids; -1: no term, -2: end of a sentence)."""
+    """Unit TF-IDF vectors of coded documents (ids; -1: no term, -2: end of a sentence).
 
-    def __init__(self, idf: np.ndarray):
-        self.idf = idf.astype(np.float32)
+    Term weights are those of the document's language, in which its everyday words are common; overall ones where it is
+    unknown.
+    """
+
+    def __init__(self, idf: np.ndarray, place: dict[str, int]):
+        self.idf, self.place = idf.astype(np.float32), place
 
     def __call__(self, batch: pa.RecordBatch):
         column = batch.column("ids")
@@ -101,10 +111,11 @@ class Weigher:
         flat = column.values.to_numpy()[offsets[0] : offsets[-1]]
         row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
         known = flat >= 0
-        terms = np.int64(len(self.idf))
+        terms = np.int64(self.idf.shape[1])
+        lang = np.array([self.place.get(x, len(self.idf) - 1) for x in batch.column("lang").to_pylist()], dtype=np.int64)
         pair, times = np.unique(row[known] * terms + flat[known], return_counts=True)
         r, ids = pair // terms, (pair % terms).astype(np.int64)
-        weights = ((1 + np.log(times)) * self.idf[ids]).astype(np.float32)
+        weights = ((1 + np.log(times)) * self.idf[lang[r], ids]).astype(np.float32)
         length = np.sqrt(np.bincount(r, weights.astype(np.float64) ** 2, minlength=batch.num_rows))
         weights = weights / np.where(length > 0, length, 1)[r].astype(np.float32)
         return np.concatenate([[0], np.cumsum(np.bincount(r, minlength=batch.num_rows))]), ids, weights
@@ -132,6 +143,52 @@ def group_sums(rows: DataFrame, weigh: Weigher, basis: np.ndarray, groups: int,
     return out[:, :rank], out[:, rank]
 
 
+def row_sums(rows: DataFrame, weigh: Weigher, terms: int, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts of the documents' vectors by language, not yet projected."""
+    groups = len(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros(groups * (terms + 1))
+        for batch in batches:
+            if batch.num_rows:
+                offsets, ids, weights = weigh(batch)
+                group = np.array([place.get(x, 0) for x in batch.column("lang").to_pylist()], dtype=np.int64)
+                at = np.repeat(group, np.diff(offsets)) * (terms + 1) + ids
+                acc += np.bincount(at, weights, minlength=len(acc)) + np.bincount(group * (terms + 1) + terms, minlength=len(acc))
+        k = np.flatnonzero(acc)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(acc[k])], names=["k", "v"])
+
+    got = rows.mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(groups * (terms + 1))
+    out[got["k"].to_numpy(dtype=np.int64)] = got["v"].to_numpy()
+    out = out.reshape(groups, terms + 1)
+    return out[:, :terms], out[:, terms]
+
+
+def term_subjects(rows: DataFrame, weigh: Weigher, basis: np.ndarray, subjects: int, assign) -> np.ndarray:
+    """Of the documents that hold a term, how many are on each subject (terms x subjects). ``assign`` as for ``group_sums``."""
+    sent = rows.sparkSession.sparkContext.broadcast(basis)
+    terms = len(basis)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros(terms * subjects, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                offsets, ids, weights = weigh(batch)
+                row, subject = assign(batch, project(offsets, ids, weights, sent.value))
+                of = np.full(batch.num_rows, -1, dtype=np.int64)
+                of[row] = subject
+                each = np.repeat(of, np.diff(offsets))
+                acc += np.bincount(ids[each >= 0] * subjects + each[each >= 0], minlength=len(acc))
+        k = np.flatnonzero(acc)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(acc[k])], names=["k", "n"])
+
+    got = rows.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(terms * subjects)
+    out[got["k"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
+    return out.reshape(terms, subjects)
+
+
 def encode(documents: DataFrame, terms: list[str]) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
@@ -252,19 +309,21 @@ def assign_subjects(
     if not names:
         return spark.createDataFrame([], schema)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), language(F.col("lang")).alias("lang"), "text").where("text != ''")
-    terms, counts, total = vocabulary_of(texts, min_share)
+    texts = spread(texts)
+    by_lang = texts.groupBy("lang").count().collect()  # as many rows as there are notations of languages
+    whole = sum(r["count"] for r in by_lang)
+    langs = sorted(r["lang"] for r in by_lang if r["lang"] is not None and r["count"] >= LANGUAGE_SHARE * whole) or [""]
+    place = {g: i for i, g in enumerate(langs)}
+    terms, idf = vocabulary_of(texts, langs, min_share)
     if not terms:
         return spark.createDataFrame([], schema)
-    coded, weigh = stage(encode(texts, terms)), Weigher(np.log((1 + total) / counts))
-    basis = randomised_svd(coded, len(terms), min(rank, len(terms)), weigh, power=2, seed=seed)
+    coded, weigh = stage(encode(texts, terms)), Weigher(idf, place)
+    basis, values = randomised_svd(coded, len(terms), min(rank, len(terms)), weigh, seed=seed)
     if basis.shape[1] == 0:
         return spark.createDataFrame([], schema)
 
-    by_lang = {r["lang"]: r["count"] for r in coded.where("lang is not null").groupBy("lang").count().where(F.col("count") >= LANGUAGE_SHARE * total).collect()}
-    langs = sorted(by_lang) or [""]
-    place = {g: i for i, g in enumerate(langs)}
-    sums, n = group_sums(coded.where(F.col("lang").isin(langs)) if by_lang else coded, weigh, basis, len(langs), lambda b, z: (np.array([place.get(x, 0) for x in b.column("lang").to_pylist()]), z))
-    means = sums / np.maximum(n, 1)[:, None]
+    sums, n = row_sums(coded.where(F.col("lang").isin(langs)) if langs != [""] else coded, weigh, len(terms), place)
+    means = (sums / np.maximum(n, 1)[:, None]) @ basis
     ways = unit(means)
 
     def centred(batch: pa.RecordBatch, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,33 +347,45 @@ def assign_subjects(
         g, v = centred(batch, z)
         return np.array(batch.column("s").to_pylist(), dtype=np.int64) * len(langs) + g, v
 
-    seeds, _ = group_sums(coded.join(single, "doc_id"), weigh, basis, size, seeded)
+    seeds, labelled = group_sums(coded.join(single, "doc_id"), weigh, basis, size, seeded)
+    seeds[labelled < MIN_SEEDS] = 0
     index = {t: i for i, t in enumerate(terms)}
     home = place.get("en", 0)
     for i, s in enumerate(names):
         known = [index[w] for ws in sentences(f"{s}. {about[s]}") for w in ws if w in index]
         if known:
-            seeds[i * len(langs) + home] += unit((weigh.idf[known] @ basis[known])[None, :] / len(known) - means[home])[0]
+            seeds[i * len(langs) + home] += unit((weigh.idf[home, known] @ basis[known])[None, :] / len(known) - means[home])[0]
     seeds = unit(seeds)
     centroids = seeds
+
+    def sure(batch: pa.RecordBatch, z: np.ndarray, centroids: np.ndarray):
+        """Places, subjects, languages and vectors of the documents that are clearly nearest to one centroid."""
+        g, v = centred(batch, z)
+        cosine = (v @ centroids.T).reshape(len(v), len(names), len(langs))[np.arange(len(v)), :, g]
+        order = np.sort(np.column_stack([np.zeros(len(v)), cosine]), axis=1)
+        at = np.flatnonzero((order[:, -1] > NEAR) & (order[:, -1] - order[:, -2] > LEAD))
+        return at, cosine[at].argmax(axis=1), g[at], v[at]
+
     for _ in range(rounds):
 
         def nearest(batch: pa.RecordBatch, z: np.ndarray, centroids=centroids):
-            g, v = centred(batch, z)
-            cosine = (v @ centroids.T).reshape(len(v), len(names), len(langs))[np.arange(len(v)), :, g]
-            order = np.sort(np.column_stack([np.zeros(len(v)), cosine]), axis=1)
-            sure = (order[:, -1] > NEAR) & (order[:, -1] - order[:, -2] > LEAD)
-            return cosine.argmax(axis=1)[sure] * len(langs) + g[sure], v[sure]
+            _, s, g, v = sure(batch, z, centroids)
+            return s * len(langs) + g, v
 
         moved, _ = group_sums(coded, weigh, basis, size, nearest)
         centroids = unit(seeds + unit(moved))
+    final = centroids
+    held = term_subjects(coded, weigh, basis, len(names), lambda b, z: sure(b, z, final)[:2])
+    prior = held.sum(axis=0) / max(held.sum(), 1)
+    share = (held + 5 * prior) / (held.sum(axis=1, keepdims=True) + 5)
+    leaning = share >= np.minimum(LIFT * prior, 0.75)
     # terms against centroids; singular values bring terms onto the scale of documents
-    scale = np.sqrt(np.maximum(np.einsum("ij,ij->j", basis, gram_times(coded, basis, weigh)), 0))
-    cosine = unit(basis * scale) @ centroids.T
-    best = np.sort(cosine, axis=0)[::-1][:15].mean(axis=0)
+    cosine = unit(basis * values) @ centroids.T
+    best = np.sort(cosine, axis=0)[::-1][:5].mean(axis=0)
     relative = (cosine / np.where(best > 0.2, best, np.inf)).reshape(len(terms), len(names), len(langs)).max(axis=2)
     links = frozenset(index[w] for w in LINKS if w in index)
-    clear, nearest_to = relative.max(axis=1) >= CLEAR, relative.argmax(axis=1)
+    nearest_to = relative.argmax(axis=1)
+    clear = (relative.max(axis=1) >= CLEAR) & leaning[np.arange(len(terms)), nearest_to]
     first = _lexicon(coded, clear, nearest_to, len(names), links)
     lexicon = _lexicon(coded, clear & first.strong[np.arange(len(terms)), nearest_to], nearest_to, len(names), links)
     sent = spark.sparkContext.broadcast((lexicon, names))
