@@ -28,36 +28,36 @@ def key_profile(
     min_share: float = 0.0,
     bins: int = 256,
 ) -> DataFrame:
-    """For each key: ``n`` (rows), ``n_values`` (rows with a value), and ``q0``, ``q1``, ... at ``probs``.
+    """For each key: its columns, ``n`` (rows), ``n_values`` (rows with a value), and ``q0``, ``q1``, ... at ``probs``.
 
     A quantile is the nearest-rank one: the smallest value with at least ``ceil(p * n_values)`` values up to it (the
     least value for p = 0); null when the key has no value. Null and NaN values count in ``n`` only. A null key is a key
     like any other. Values are compared as doubles. Keys that hold less than ``min_share`` of all rows are left out. An empty input gives no rows.
     """
     number = F.greatest(F.least(F.col(f"`{value}`").cast("double"), F.lit(LARGEST)), F.lit(-LARGEST))
-    counted = stage(
-        df.select(*key, F.when(~F.isnan(F.col(f"`{value}`").cast("double")), number).alias("__ls_v")).groupBy(*key, "__ls_v").agg(F.count(F.lit(1)).alias("__ls_c"))
-    )
-    keys = counted.groupBy(*key).agg(
-        F.sum("__ls_c").alias("n"),
-        F.coalesce(F.sum(F.when(F.col("__ls_v").isNotNull(), F.col("__ls_c"))), F.lit(0)).alias("n_values"),
+    known = F.col(f"`{value}`").isNotNull() & ~F.isnan(F.col(f"`{value}`").cast("double"))
+    ks = [f"__ls_k{i}" for i in range(len(key))]
+    own = [F.col(f"`{k}`").alias(a) for k, a in zip(key, ks)]
+    counted = stage(df.select(*own, F.when(known, number).alias("__ls_v")).groupBy(*ks, "__ls_v").agg(F.count(F.lit(1)).alias("__ls_c")))
+    keys = counted.groupBy(*ks).agg(
+        F.sum("__ls_c").alias("__ls_n"),
+        F.coalesce(F.sum(F.when(F.col("__ls_v").isNotNull(), F.col("__ls_c"))), F.lit(0)).alias("__ls_m"),
         F.count("__ls_v").alias("__ls_d"),
         F.min("__ls_v").alias("__ls_lo"),
         F.max("__ls_v").alias("__ls_hi"),
     )
     if min_share > 0:
         total = counted.agg(F.sum("__ls_c")).first()[0] or 0
-        keys = keys.where(F.col("n") >= F.lit(min_share) * F.lit(total))
-    keys = stage(keys.select(*[F.col(f"`{k}`").alias(f"__ls_k{i}") for i, k in enumerate(key)], "n", "n_values", "__ls_d", "__ls_lo", "__ls_hi"))
-    ks = [f"__ls_k{i}" for i in range(len(key))]
-    values = counted.where("__ls_v is not null").select(*[F.col(f"`{k}`").alias(a) for k, a in zip(key, ks)], "__ls_v", "__ls_c")
+        keys = keys.where(F.col("__ls_n") >= F.lit(min_share) * F.lit(total))
+    keys = stage(keys)
+    values = counted.where("__ls_v is not null")
     # null keys must join too
     tag = F.xxhash64(*[x for a in ks for x in (F.col(a).isNull(), F.col(a))])
     keys, values = keys.withColumn("__ls_t", tag), values.withColumn("__ls_t", tag)
     on = ["__ls_t"]
 
-    ranks = [F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("n_values"))).cast("bigint") for p in probs]
-    wanted = keys.where("n_values > 0").select(
+    ranks = [F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("__ls_m"))).cast("bigint") for p in probs]
+    wanted = keys.where("__ls_m > 0").select(
         "__ls_t", *ks, "__ls_d", "__ls_lo", "__ls_hi", F.posexplode(F.array(*ranks)).alias("__ls_i", "__ls_rank")
     )
 
@@ -105,5 +105,5 @@ def key_profile(
     left, right = keys.alias("l"), pivoted.alias("r")
     match = reduce(lambda a, b: a & b, [F.col(f"l.{a}").eqNullSafe(F.col(f"r.{a}")) for a in ks])
     return left.join(right, (F.col("l.__ls_t") == F.col("r.__ls_t")) & match, "left").select(
-        *[F.col(f"l.{a}").alias(k) for a, k in zip(ks, key)], "n", "n_values", *[f"q{i}" for i in range(len(probs))]
+        *[F.col(f"l.{a}").alias(k) for a, k in zip(ks, key)], F.col("__ls_n").alias("n"), F.col("__ls_m").alias("n_values"), *[f"q{i}" for i in range(len(probs))]
     )
