@@ -16,6 +16,11 @@ def instant_us(text: Column) -> Column:
     return F.unix_micros(F.when(trimmed.rlike(r"\d{1,2}:\d{2}"), zoned).otherwise(trimmed).try_cast("timestamp"))
 
 
+def bare(text: Column) -> Column:
+    """A text without the white space around it, tabs and line ends included; ``F.trim`` takes off spaces only."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
 def leaves(col: Column, kind: T.DataType) -> list[Column]:
     """Hashable columns that together tell any two values of ``col`` apart, nulls in any place included."""
     if isinstance(kind, T.StructType):

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.values import bare
 from lodestone.functions.vocabulary import CONFIDENCES, COUPLING, DECLARATIONS
 from lodestone.plans.staging import join_small
 from lodestone.plans.standing import standing
@@ -73,7 +74,7 @@ def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
             "id",
             "type",
             "source_id",
-            F.trim("target_id").alias("target_id"),
+            bare(F.col("target_id")).alias("target_id"),
             "name",
             "confidence",
             "candidate_group",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.values import instant_us
+from lodestone.functions.values import bare, instant_us
 from lodestone.operators.hotkeys import key_profile
 from lodestone.operators.snapshots import snapshot_changes
 from lodestone.operators.topn import top_n
@@ -91,7 +91,7 @@ def edge_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
             "repo_id",
             F.xxhash64("id").alias("h1"),
             F.xxhash64(F.lit(1), F.col("id")).alias("h2"),
-            F.trim("target_id").alias("id"),
+            bare(F.col("target_id")).alias("id"),
             F.col("location.start_line").alias("line"),
         )
         .groupBy("repo_id", "h1", "h2", "id")
