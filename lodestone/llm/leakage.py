@@ -4,10 +4,10 @@
    vocabulary of the items (-1: no word of any item).
 2. Passages are 26 words long and begin every 13 words, so that 13 words in a row always lie in one. A randomised SVD
    of all passages' TF-IDF vectors gives the latent space.
-3. Items are cut into windows of 16 words that begin every 4 words. A passage and an item are a candidate when the
-   cosine of the passage with one of the item's windows reaches ``TAU``. Passages without a long enough run of words of
-   the items' vocabulary can't match, nor can a pair whose passage has too few words of the item in a row; both are
-   left out here (exact conditions).
+3. A passage and an item are a candidate when the passage has enough words of the item in a row, whatever its cosine:
+   each pair without such a run can't hold wording of the item (an exact condition). Items are also cut into windows of
+   16 words that begin every 4 words; a passage with enough words of the item is a candidate for a paraphrase when its
+   cosine with one of the windows reaches ``TAU``.
 4. Each candidate gets its longest common subsequence, its longest common run and the share of the item's distinctive
    words that the passage names (the answer check).
 
@@ -30,8 +30,8 @@ from lodestone.plans.staging import ship, spread, stage
 
 WORD = re.compile(r"[^\W_]+")
 RUN, PASSAGE, WINDOW, STEP = 13, 26, 16, 4
-#: Least cosine of a candidate (less for items of fewer than 13 words, with the root of their length), set so that the recall against brute force is 1 on all test data (see README).
-TAU = 0.45
+#: Least cosine of a candidate for a paraphrase (less for items of fewer than 13 words, with the root of their length). Wording word by word is found without it.
+TAU = 0.3
 RANK = 96
 BLOCK = 2000
 #: Passages compared at a time.
@@ -131,8 +131,8 @@ def longest_run_known(table: np.ndarray) -> np.ndarray:
     return best
 
 
-def possible(held: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """For each passage and item whether the words can do. held (passages x words x items): is the word in the item.
+def possible(held: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each passage and item whether the words can do for a case, and for a paraphrase. held (passages x words x items): is the word in the item.
 
     A case needs a run of words that the item has, a paraphrase enough of them.
     """
@@ -140,7 +140,7 @@ def possible(held: np.ndarray, need: np.ndarray) -> np.ndarray:
     for j in range(held.shape[1]):
         now = (now + 1) * held[:, j]
         best = np.maximum(best, now)
-    return (best >= need) | (held.sum(axis=1, dtype=np.uint8) >= PARAPHRASE * PASSAGE)
+    return best >= need, held.sum(axis=1, dtype=np.uint8) >= PARAPHRASE * PASSAGE
 
 
 def common(passages: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +233,8 @@ def _search(coded: DataFrame, items: Items, tau: float, rank: int, seed: int) ->
                 some = table[k : k + ROWS]
                 z = unit(project(*weighted(some, idf), basis)).astype(np.float32)
                 cosine = np.maximum.reduceat(z @ latent.T, items.window_of, axis=1)
-                p, i = np.nonzero((cosine >= enough) & possible(holds[some], items.need))
+                case, near = possible(holds[some], items.need)
+                p, i = np.nonzero(case | (near & (cosine >= enough)))
                 for c in range(0, len(p), 4096):
                     pc, ic = p[c : c + 4096], i[c : c + 4096]
                     lcs, long = common(some[pc], items.texts[ic])

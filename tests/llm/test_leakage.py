@@ -93,3 +93,18 @@ def test_common_words():
 
 def test_words():
     assert words("A_b-Cé9 ß") == ["a", "b", "cé9", "ß"]
+
+
+def test_least_runs_among_rarer_words(spark):
+    """13 everyday words of an item, set in the rarer words of others: their cosine is small."""
+    everyday = [f"c{i}" for i in range(13)]
+    items = [(1, " ".join(everyday))] + [(k, " ".join(f"r{k}x{j}" for j in range(26))) for k in range(2, 32)]
+    docs = [(d, " ".join(random.Random(d).sample(everyday, 13) * 2)) for d in range(400)]
+    for k in range(2, 32):
+        rare = items[k - 1][1].split()
+        docs.append((1000 + k, " ".join(rare[:12] + ["x"] + everyday + ["x"] + rare[14:])))
+    found = leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    planted = rows(found.where("verbatim and doc_id > 1000").select("doc_id", "item_id", "cosine"))
+    assert [(d, i) for d, i, _ in planted] == [(1000 + k, 1) for k in range(2, 32)]
+    assert min(c for _, _, c in planted) < 0.3
+    assert sorted(rows(found.where("verbatim").select("doc_id", "item_id"))) == brute(docs, items)
