@@ -843,7 +843,7 @@ class Script(Parser):
         self.restore(old)
 
     def try_arrow(self, asyn: bool, sure: bool) -> bool:
-        state, place = self.state(), self.i
+        state, place, depth = self.state(), self.i, self.depth
         if sure:
             self.arrow(asyn)
             self.arrow_rest()
@@ -853,6 +853,7 @@ class Script(Parser):
         except Fault:
             self.restore(state)
             self.back(place)
+            self.depth = depth
             return False
         self.arrow_rest()
         return True
