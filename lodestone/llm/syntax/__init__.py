@@ -1,7 +1,7 @@
 """Parsers for six languages: recursive descent over statements, precedence climbing for expressions, panic-mode recovery.
 
 ``check(text, language)`` gives all errors of a text as (line, message), in order; an empty list means it is valid.
-Names and types aren't resolved. ``Undecided`` is raised for a text nested too deeply to be judged.
+Names and types aren't resolved. ``Undecided`` is raised for a text nested too deeply to be judged, unless an error came before.
 """
 
 from __future__ import annotations

@@ -117,7 +117,7 @@ class Parser:
             self.step()
 
     def run(self) -> list[tuple[int, str]]:
-        """Parse the whole text; all errors, in order."""
+        """Parse the whole text; all errors, in order. Those before a place nested too deeply are a verdict without the rest."""
         while self.tok.kind != "end":
             begin, depth = self.i, self.depth
             try:
@@ -127,6 +127,10 @@ class Parser:
                 self.recover(fault, begin)
                 if self.on("}"):
                     self.step()
+            except (Undecided, RecursionError):
+                if not self.errors:
+                    raise
+                break
         return self.errors
 
     def top(self) -> None:

@@ -14,9 +14,12 @@ TOKEN = re.compile(
 
 
 def check(text: str) -> list[tuple[int, str]]:
-    """Errors as (line, message). The first one ends the parse: JSON has no statements to go on with."""
+    """Errors as (line, message). The first one ends the parse: JSON has no statements to go on with.
+
+    Errors are found at any depth; a text without one that is nested beyond ``DEEPEST`` is left undecided.
+    """
     text = text.removeprefix("﻿")
-    at = 0
+    at = deepest = 0
     stack: list[str] = []
     want = "value"  # value, value or ], key or }, key, colon, next, end
 
@@ -30,15 +33,18 @@ def check(text: str) -> list[tuple[int, str]]:
             if rest:
                 at += len(text[at:]) - len(text[at:].lstrip(" \t\r\n"))
                 return fault(f"not a token: {rest[:20]!r}")
-            return [] if want == "end" else fault(f"expected {want}, found the end of the text")
+            if want != "end":
+                return fault(f"expected {want}, found the end of the text")
+            if deepest > DEEPEST:
+                raise Undecided
+            return []
         at, kind, x = m.start(m.lastgroup), m.lastgroup, m.group(m.lastgroup)
         if want.startswith("value"):
             if kind != "op":
                 want = "next" if stack else "end"
             elif x in "{[":
                 stack.append(x)
-                if len(stack) > DEEPEST:
-                    raise Undecided
+                deepest = max(deepest, len(stack))
                 want = "key or }" if x == "{" else "value or ]"
             elif x == "]" and want == "value or ]":
                 stack.pop()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from lodestone.llm.syntax.base import Fault, Parser, Token, Undecided
+from lodestone.llm.syntax.base import Fault, Parser, Token
 
 NUMBER = re.compile(
     r"(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)"
@@ -216,8 +216,8 @@ def lex(text: str, line: int = 1, inner: bool = False) -> list[Token]:
         x = m.group()
         if x in CLOSE:
             brackets.append((x, line))
-            if len(brackets) > 200:
-                raise Undecided
+            if len(brackets) > 200:  # as CPython
+                raise Fault("too many nested brackets", line)
         elif x in (")", "]", "}"):
             if not brackets:
                 raise Fault(f"unmatched '{x}'", line)

@@ -72,8 +72,9 @@ def check_files(files: DataFrame) -> DataFrame:
     whose parser accepts the text (worked out for invalid files; a file under a wrong extension shows its own there).
 
     The row with the greatest scanned_at stands; at equal times the one whose contents have the greater hash. Texts are
-    parsed where they are read, and only verdicts are shuffled. ``valid`` is null where contents are null or nested too
-    deeply (about 1,500 levels) to be judged. An empty text is judged like any other: valid in all but JSON and Go. Null
+    parsed where they are read, and only verdicts are shuffled. ``valid`` is null where contents are null, or nested too
+    deeply (about 1,500 levels) to be judged and without an error before that place. Errors of JSON are
+    found at any depth, and Python has an error beyond 200 open brackets. An empty text is judged like any other: valid in all but JSON and Go. Null
     paths and other extensions give no row; extra columns are ignored; an empty table gives an empty result.
     """
     ship(files.sparkSession)
