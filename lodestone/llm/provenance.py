@@ -10,8 +10,9 @@ Every file is lexed, its canonical form emitted, and the layout compared with it
   words, similarity 0.8) of a file of another repository.
 
 Near copies are classes: files with the same code first, then, by MinHash bands, links of similar code. In a band's
-bucket all are compared with a few leaders; those that are similar to none go on with leaders of their own until fewer
-than two are left, so that no member is dropped and no bucket is expanded into pairs.
+bucket all are compared with a few leaders at a time, until all have led or all are found to be copies. No member leaves
+before that, so no link between repositories goes untested, and no bucket is expanded into pairs at once. After the first
+leaders a bucket of one repository is done: its links can't name another.
 """
 
 from __future__ import annotations
@@ -137,14 +138,14 @@ def copied_codes(features: DataFrame) -> DataFrame:
     sets = stage(coded.dropDuplicates(["code_id"]).drop("repo_id").join(repos, "code_id"))
     found = [sets.where("lo < hi").select("code_id")]
 
-    def crowded(slots: DataFrame) -> DataFrame:
-        """The slots of buckets with more than one member."""
-        return stage(slots.join(slots.groupBy("band", "value").count().where("count > 1").drop("count"), ["band", "value"]))
-
-    members = crowded(sets.select("code_id", F.posexplode("bands").alias("band", "value")))
+    slots = sets.select("code_id", "lo", "hi", F.posexplode("bands").alias("band", "value"))
     first = Window.partitionBy("band", "value").orderBy(F.xxhash64("code_id", "band"), "code_id")
+    crowded = slots.groupBy("band", "value").count().where("count > 1").drop("count")
+    members = stage(slots.join(crowded, ["band", "value"]).withColumn("r", F.row_number().over(first)))
+    led = 0
     while members.limit(1).count():
-        leaders = members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= LEADERS).drop("r").withColumnRenamed("code_id", "leader")
+        leaders = members.where((F.col("r") > led) & (F.col("r") <= led + LEADERS)).select("band", "value", F.col("code_id").alias("leader"))
+        led += LEADERS
         met = members.join(leaders, ["band", "value"]).where("code_id != leader")
         pairs = met.select("code_id", "leader").distinct()
         left = sets.select("code_id", F.col("shingles").alias("a"), "lo", "hi")
@@ -160,10 +161,15 @@ def copied_codes(features: DataFrame) -> DataFrame:
         spread = linked.groupBy("leader").agg(F.least(F.min("lo"), F.min("lo2")).alias("lo"), F.greatest(F.max("hi"), F.max("hi2")).alias("hi"))
         spread = spread.where("lo < hi").select("leader")
         found.append(stage(linked.join(spread, "leader", "left_semi").select("code_id").unionByName(spread.select(F.col("leader").alias("code_id"))).distinct()))
-        # members of a bucket that are similar to none of its leaders go on
-        settled = met.join(linked.select("code_id", "leader"), ["code_id", "leader"], "left_semi").select("code_id", "band", "value")
-        settled = settled.unionByName(leaders.select(F.col("leader").alias("code_id"), "band", "value")).distinct()
-        members = crowded(members.join(settled, ["code_id", "band", "value"], "left_anti"))
+        # a bucket goes on while members are left to lead, it has more than one repository, and a member isn't found yet
+        known = reduce(DataFrame.unionByName, found).distinct().withColumn("known", F.lit(True))
+        going = (
+            members.join(known, "code_id", "left")
+            .groupBy("band", "value")
+            .agg(F.max("r").alias("last"), F.min("lo").alias("least"), F.max("hi").alias("most"), F.count_if(F.col("known").isNull()).alias("unknown"))
+            .where((F.col("last") > led) & (F.col("least") < F.col("most")) & (F.col("unknown") > 0))
+        )
+        members = stage(members.join(going.select("band", "value"), ["band", "value"], "left_semi"))
     return reduce(DataFrame.unionByName, found).distinct()
 
 

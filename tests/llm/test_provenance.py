@@ -103,3 +103,18 @@ def test_copies_like_brute_force(spark):
             may.add(ids[i])
     assert got <= may and len(got & must) >= 0.95 * len(must)
     assert rows(copied_codes(df.limit(0))) == []
+
+
+def test_links_between_members_that_do_not_lead(spark):
+    """In a large bucket of like files of one repository one has a foreign copy that is like none of the others."""
+    data, want = [], []
+    for family in range(5):
+        base = set(range(family * 10_000, family * 10_000 + 100))
+        low, new = min(base), family * 10_000 + 5000
+        x = base - set(range(low, low + 10)) | set(range(new, new + 10))
+        y = x - set(range(low + 20, low + 30)) | set(range(new + 20, new + 30))
+        data += [(1, sorted(base - {low + k} | {new + 100 + k}), [family]) for k in range(100)] + [(1, sorted(x), [family]), (2, sorted(y), [family])]
+        want += [sorted(x), sorted(y)]
+    df = spark.createDataFrame(data, "repo_id bigint, shingles array<bigint>, bands array<bigint>")
+    ids = {r[0] for r in spark.createDataFrame([(w,) for w in want], "s array<bigint>").selectExpr("xxhash64(s)").collect()}
+    assert ids <= {r[0] for r in copied_codes(df).collect()}
