@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.values import bare, instant_us
-from lodestone.operators.hotkeys import key_profile
+from lodestone.operators.hotkeys import heavy_keys, key_profile
 from lodestone.operators.snapshots import snapshot_changes
 from lodestone.operators.topn import top_n
 from lodestone.plans.staging import join_small
@@ -101,8 +101,8 @@ def edge_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = key_profile(edge_targets(spark, sf_dir), ["id"], "line", (0.5,), min_share=HOT_SHARE).select("id")
     # a target holds at least 1 % of all edges, so there are at most 100: a proven bound for the broadcast
+    hot = heavy_keys(edge_targets(spark, sf_dir), ["id"], HOT_SHARE).select("id")
     nodes = table(spark, sf_dir, "nodes").select("repo_id", "revision_id", "id", "kind", "loaded_at").join(F.broadcast(hot), "id")
     of = table(spark, sf_dir, "edges").select("repo_id", "revision_id").distinct()
     latest = join_small(nodes, of, ["repo_id", "revision_id"], "left_semi", salt=["id"])

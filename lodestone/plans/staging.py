@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it has at most this many rows ...
-BROADCAST_ROWS = 400_000
-#: ... and at most this many bytes, estimated from its column types and measured string lengths.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_ROWS = 100_000
+#: ... and at most this many bytes, estimated from its column types and measured string lengths. The hash relation that is built
+#: from it takes some four times as much.
+BROADCAST_BYTES = 8 << 20
 
 
 _SHIPPED: set[str] = set()

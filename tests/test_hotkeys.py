@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lodestone.operators.hotkeys import key_profile
+from lodestone.operators.hotkeys import heavy_keys, key_profile
 
 from .conftest import rows
 
@@ -54,3 +54,26 @@ def test_two_part_keys_and_clashing_names(spark):
     df = spark.createDataFrame(data, "n int, id string, q0 int, n_values int")
     got = rows(key_profile(df, ["n", "id"], "q0", (0.5,)).toDF("a", "b", "c", "d", "e"))
     assert got == sorted([(1, None, 2, 2, 5.0), (1, "x", 1, 1, 9.0), (None, "x", 1, 1, 2.0)], key=repr)
+
+
+@pytest.mark.parametrize("bins", [64])
+def test_heavy_keys_against_counts(spark, bins):
+    rng = random.Random(bins)
+    data = [("a", None)] * 100 + [("b", 1)] * 10 + [(None, None)] * 9 + [(f"k{rng.randrange(500)}", rng.randrange(3)) for _ in range(881)]
+    df = spark.createDataFrame(data, "k string, n int")
+    for share in (0.001, 0.01, 0.1):
+        counts = {}
+        for x in data:
+            counts[x] = counts.get(x, 0) + 1
+        want = sorted(((*x, c) for x, c in counts.items() if c >= share * len(data)), key=repr)
+        assert rows(heavy_keys(df, ["k", "n"], share, bins=bins).toDF("a", "b", "c")) == want
+    assert rows(heavy_keys(df.limit(0), ["k"], 0.01)) == []
+    assert rows(heavy_keys(df.limit(1), ["k"], 0.5)) == [("a", 1)]
+
+
+def test_many_ranks_of_many_wide_keys(spark):
+    rng = random.Random(3)
+    data = [(f"k{i % 7}", float(rng.randrange(2000))) for i in range(3000)]
+    df = spark.createDataFrame(data, "k string, v double")
+    probs = tuple(i / 20 for i in range(21))
+    assert rows(key_profile(df, ["k"], "v", probs, bins=16)) == brute(data, probs)
