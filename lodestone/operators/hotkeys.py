@@ -169,12 +169,12 @@ def heavy_keys(df: DataFrame, key: list[str], share: float, *, bins: int = 256)
     while least > 1 and least - 1 >= share * total:  # the product may have been rounded up
         least -= 1
     spark = df.sparkSession
-    wanted = spark.range(1 if total else 0).select(
+    wanted = stage(spark.range(1 if total else 0).select(
         F.lit(0).cast("bigint").alias("__ls_t"),
         F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(max(1, total // least)).cast("bigint"))).alias("__ls_i"),
         F.lit(whole["lo"]).cast("double").alias("__ls_lo"),
         F.lit(whole["hi"]).cast("double").alias("__ls_hi"),
-    ).withColumn("__ls_rank", F.col("__ls_i") * F.lit(least).cast("bigint"))
+    ).withColumn("__ls_rank", F.col("__ls_i") * F.lit(least).cast("bigint")))
     at = select(stage(runs), wanted, [], bins).select(F.col("__ls_q").alias("__ls_v")).distinct()
     picked = counted.join(F.broadcast(at), "__ls_v", "left_semi")  # at most 1 / share values
     return picked.where(F.col("__ls_c") >= least).select(*[F.col(a).alias(k) for a, k in zip(ks, key)], F.col("__ls_c").alias("n"))
