@@ -99,7 +99,7 @@ def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
 #: The same graph in DuckDB: g_edges and g_nodes.
 GRAPH_SQL = """
 WITH g_edges AS (
-  SELECT DISTINCT repo_id, revision_id, id, type, source_id, trim(target_id) AS target_id, name, confidence, candidate_group, ordinal,
+  SELECT DISTINCT repo_id, revision_id, id, type, source_id, regexp_replace(target_id, '^\\s+|\\s+$', '', 'g') AS target_id, name, confidence, candidate_group, ordinal,
          provenance.producer AS producer, provenance.file_id AS provenance_file, location.start_line AS line, location.start_column AS col
   FROM edges),
 g_nodes AS (

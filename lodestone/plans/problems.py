@@ -168,8 +168,8 @@ ranked AS (
 """
 _TARGETS = """
 WITH e AS (
-  SELECT repo_id, id AS edge_id, trim(target_id) AS id, min(location.start_line) AS line, any_value(revision_id) AS revision_id
-  FROM edges GROUP BY repo_id, edge_id, trim(target_id))
+  SELECT repo_id, id AS edge_id, regexp_replace(target_id, '^\\s+|\\s+$', '', 'g') AS id, min(location.start_line) AS line, any_value(revision_id) AS revision_id
+  FROM edges GROUP BY repo_id, edge_id, regexp_replace(target_id, '^\\s+|\\s+$', '', 'g'))
 """
 SQL |= {
     "p2_found": _RANKED + "SELECT repo_id, node_id FROM ranked WHERE position <= 3",
