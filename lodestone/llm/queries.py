@@ -1,4 +1,4 @@
-"""The problems of TESTDATA.md on training text: queries and their SQL."""
+"""The problems of TESTDATA.md on training data: queries and their SQL."""
 
 from __future__ import annotations
 
@@ -9,10 +9,46 @@ from lodestone.llm.leakage import leaks
 from lodestone.llm.mixing import Mixture, mix
 from lodestone.llm.provenance import foreign_files
 from lodestone.llm.subjects import assign_subjects
+from lodestone.llm.topn import top_n
 from lodestone.llm.validity import check_files, validity_rates
+from lodestone.plans.staging import join_small
+from lodestone.plans.standing import standing
 from lodestone.sources.tables import table
 
 
+def measured_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standing metrics with the standing node they name: repo_id, file_id, kind, name, node_id, importance."""
+    metrics = standing(
+        table(spark, sf_dir, "node_metrics").select("repo_id", "revision_id", "node_id", "importance", "computed_at"),
+        ["repo_id", "node_id"],
+        "computed_at",
+        [F.col("importance").desc_nulls_last(), F.col("revision_id").desc_nulls_last()],
+    ).where("importance is not null and not isnan(importance)")
+    of = metrics.select("repo_id", "revision_id").distinct()
+    nodes = table(spark, sf_dir, "nodes").select("repo_id", "revision_id", F.col("id").alias("node_id"), "kind", "name", "file_id", "loaded_at")
+    nodes = standing(
+        join_small(nodes, of, ["repo_id", "revision_id"], "left_semi", salt=["node_id"]),
+        ["repo_id", "revision_id", "node_id"],
+        "loaded_at",
+        [F.col("name").desc_nulls_last(), F.col("kind").desc_nulls_last(), F.col("file_id").desc_nulls_last()],
+    ).where("file_id is not null")
+    return metrics.drop("computed_at").join(nodes.drop("loaded_at"), ["repo_id", "revision_id", "node_id"])
+
+
+def p2_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three names of greatest importance for each file and kind, with their position."""
+    return top_n(
+        measured_nodes(spark, sf_dir).select("repo_id", "file_id", "kind", "node_id", "name", "importance"),
+        ["repo_id", "file_id", "kind"],
+        [F.col("importance").desc(), F.col("name").asc_nulls_first(), F.col("node_id").asc_nulls_first()],
+        3,
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_top(spark, sf_dir).select("repo_id", "node_id")
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "repo_files").select("repo_id", "file_id", "path", "contents", "scanned_at")
 
@@ -77,12 +113,25 @@ def p8_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p4_errors, p5_found, p5_kinds, p6_found, p6_report, p7_drawn, p7_shares, p8_found, p8_makeup)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_top, p4_found, p4_rates, p4_errors, p5_found, p5_kinds, p6_found, p6_report, p7_drawn, p7_shares, p8_found, p8_makeup)}
 
+_RANKED = """
+WITH m AS (
+  SELECT * FROM node_metrics QUALIFY row_number() OVER (PARTITION BY repo_id, node_id ORDER BY computed_at DESC, importance DESC NULLS LAST) = 1),
+n AS (
+  SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY repo_id, revision_id, id ORDER BY loaded_at DESC) = 1),
+ranked AS (
+  SELECT n.repo_id, n.file_id, n.kind, n.id AS node_id, n.name, m.importance,
+         row_number() OVER (PARTITION BY n.repo_id, n.file_id, n.kind ORDER BY m.importance DESC, n.name ASC NULLS FIRST, n.id ASC NULLS FIRST) AS position
+  FROM m JOIN n ON m.repo_id = n.repo_id AND m.revision_id = n.revision_id AND m.node_id = n.id
+  WHERE m.importance IS NOT NULL AND NOT isnan(m.importance) AND n.file_id IS NOT NULL)
+"""
 #: The words of a text, as a DuckDB list.
 _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 
 SQL = {
+    "p2_found": _RANKED + "SELECT repo_id, node_id FROM ranked WHERE position <= 3",
+    "p2_top": _RANKED + "SELECT * FROM ranked WHERE position <= 3",
     "p6_found": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS.format('text')} AS w, least(13, len({_WORDS.format('text')})) AS n FROM eval_items),
