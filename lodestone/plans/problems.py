@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lodestone.functions.values import bare, instant_us
 from lodestone.operators.hotkeys import heavy_keys, key_profile
 from lodestone.operators.snapshots import snapshot_changes
-from lodestone.operators.topn import top_n
 from lodestone.plans.staging import join_small
 from lodestone.plans.standing import standing
 from lodestone.sources.tables import table
@@ -46,39 +45,6 @@ def p1_changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def measured_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standing metrics with the standing node they name: repo_id, file_id, kind, name, node_id, importance."""
-    metrics = standing(
-        table(spark, sf_dir, "node_metrics").select("repo_id", "revision_id", "node_id", "importance", "computed_at"),
-        ["repo_id", "node_id"],
-        "computed_at",
-        [F.col("importance").desc_nulls_last(), F.col("revision_id").desc_nulls_last()],
-    ).where("importance is not null and not isnan(importance)")
-    of = metrics.select("repo_id", "revision_id").distinct()
-    nodes = table(spark, sf_dir, "nodes").select("repo_id", "revision_id", F.col("id").alias("node_id"), "kind", "name", "file_id", "loaded_at")
-    nodes = standing(
-        join_small(nodes, of, ["repo_id", "revision_id"], "left_semi", salt=["node_id"]),
-        ["repo_id", "revision_id", "node_id"],
-        "loaded_at",
-        [F.col("name").desc_nulls_last(), F.col("kind").desc_nulls_last(), F.col("file_id").desc_nulls_last()],
-    ).where("file_id is not null")
-    return metrics.drop("computed_at").join(nodes.drop("loaded_at"), ["repo_id", "revision_id", "node_id"])
-
-
-def p2_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three names of greatest importance for each file and kind, with their position."""
-    return top_n(
-        measured_nodes(spark, sf_dir).select("repo_id", "file_id", "kind", "node_id", "name", "importance"),
-        ["repo_id", "file_id", "kind"],
-        [F.col("importance").desc(), F.col("name").asc_nulls_first(), F.col("node_id").asc_nulls_first()],
-        3,
-    )
-
-
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_top(spark, sf_dir).select("repo_id", "node_id")
-
-
 def edge_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each (repo_id, id) of edges once: target id and the line it is used in.
 
@@ -118,7 +84,7 @@ def p3_target_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changed_fields, p2_found, p2_top, p3_found, p3_target_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changed_fields, p3_found, p3_target_profile)}
 
 _FIELDS = (
     "kind name file_id container_chain visibility is_exported is_static is_abstract is_readonly is_optional is_async "
@@ -155,25 +121,12 @@ FROM pairs WHERE fresh OR gone OR differs""",
     + ") GROUP BY 1, 2, 3",
 }
 
-_RANKED = """
-WITH m AS (
-  SELECT * FROM node_metrics QUALIFY row_number() OVER (PARTITION BY repo_id, node_id ORDER BY computed_at DESC, importance DESC NULLS LAST) = 1),
-n AS (
-  SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY repo_id, revision_id, id ORDER BY loaded_at DESC) = 1),
-ranked AS (
-  SELECT n.repo_id, n.file_id, n.kind, n.id AS node_id, n.name, m.importance,
-         row_number() OVER (PARTITION BY n.repo_id, n.file_id, n.kind ORDER BY m.importance DESC, n.name ASC NULLS FIRST, n.id ASC NULLS FIRST) AS position
-  FROM m JOIN n ON m.repo_id = n.repo_id AND m.revision_id = n.revision_id AND m.node_id = n.id
-  WHERE m.importance IS NOT NULL AND NOT isnan(m.importance) AND n.file_id IS NOT NULL)
-"""
 _TARGETS = """
 WITH e AS (
   SELECT repo_id, id AS edge_id, regexp_replace(target_id, '^\\s+|\\s+$', '', 'g') AS id, min(location.start_line) AS line, any_value(revision_id) AS revision_id
   FROM edges GROUP BY repo_id, edge_id, regexp_replace(target_id, '^\\s+|\\s+$', '', 'g'))
 """
 SQL |= {
-    "p2_found": _RANKED + "SELECT repo_id, node_id FROM ranked WHERE position <= 3",
-    "p2_top": _RANKED + "SELECT * FROM ranked WHERE position <= 3",
     "p3_found": _TARGETS
     + """, hot AS (SELECT id FROM e GROUP BY id HAVING count(*) >= 0.01 * (SELECT count(*) FROM e)),
 n AS (
