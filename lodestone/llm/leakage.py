@@ -4,12 +4,12 @@
    vocabulary of the items (-1: no word of any item).
 2. Passages are 26 words long and begin every 13 words, so that 13 words in a row always lie in one. A randomised SVD
    of all passages' TF-IDF vectors gives the latent space.
-3. A passage and an item are a candidate when the passage has enough words of the item in a row, whatever its cosine:
-   each pair without such a run can't hold wording of the item (an exact condition). Items are also cut into windows of
-   16 words that begin every 4 words; a passage with enough words of the item is a candidate for a paraphrase when its
-   cosine with one of the windows reaches ``TAU``.
+3. A passage and an item are a candidate for a case when the passage has enough words of the item in a row, whatever its
+   cosine: each pair without such a run can't hold wording of the item (an exact condition). Items are also cut into
+   windows of 16 words that begin every 4 words; a passage with enough words of the item is a candidate for a paraphrase
+   when its cosine with one of the windows reaches ``TAU``. Enough is an exact condition too, and each item's own.
 4. Each candidate gets its longest common subsequence, its longest common run and the share of the item's distinctive
-   words that the passage names (the answer check).
+   words that are named (the answer check). For a paraphrase every stretch of 26 words that meets the passage is tried.
 
 The items are the stated query set: they are sent out in blocks of at most ``BLOCK`` items. Documents are never gathered.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ RANK = 96
 BLOCK = 2000
 #: Passages compared at a time.
 ROWS = 128
-#: Of a candidate without a long common run: a paraphrase has this share of the passage's words in order ...
+#: Of a candidate without a long common run: a paraphrase has, in order in 26 words, this share of the item's words, or of 26 if they are more ...
 PARAPHRASE = 0.7
+#: A stretch of 26 words that begins anywhere has at most so many words outside of its nearest passage.
+OUTSIDE = RUN // 2
 #: ... and names this share of the distinctive words of the nearest window.
 ANSWER = 0.5
 
@@ -54,6 +57,7 @@ class Items:
     vocabulary: dict[str, int]
     texts: np.ndarray  # items x longest, -1 behind the end
     need: np.ndarray  # words in a row that make a case
+    told: np.ndarray  # words in order that make a paraphrase
     window_of: np.ndarray  # first window of each item
     windows: list[np.ndarray]
     distinctive: list[frozenset]
@@ -81,7 +85,8 @@ def prepare(rows: list[tuple[int, str]]) -> Items:
     rare = max(1, len(coded) // 50)
     distinctive = [frozenset(int(t) for t in np.unique(c) if holders[t] <= rare) for c in coded]
     need = np.array([min(RUN, len(c)) for c in coded], dtype=np.int32)
-    return Items([i for i, _ in split], vocabulary, texts, need, np.array(first, dtype=np.int64), windows, distinctive)
+    told = np.array([-int(-PARAPHRASE * min(PASSAGE, len(c)) // 1) for c in coded], dtype=np.int32)
+    return Items([i for i, _ in split], vocabulary, texts, need, told, np.array(first, dtype=np.int64), windows, distinctive)
 
 
 def passages_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,16 +136,25 @@ def longest_run_known(table: np.ndarray) -> np.ndarray:
     return best
 
 
-def possible(held: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stretches(batch: pa.RecordBatch, doc: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """Word ids of the ``width`` words from ``first`` on of these documents; -2 before the beginning and behind the end."""
+    column = batch.column("ids")
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    place = (offsets[doc] + first)[:, None] + np.arange(width)
+    inside = (place >= offsets[doc][:, None]) & (place < offsets[doc + 1][:, None])
+    return np.where(inside, flat[np.clip(place, 0, max(len(flat) - 1, 0))] if len(flat) else -2, -2).astype(np.int32)
+
+
+def possible(held: np.ndarray, need: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each passage and item whether the words can do for a case, and for a paraphrase. held (passages x words x items): is the word in the item.
 
-    A case needs a run of words that the item has, a paraphrase enough of them.
+    A case needs a run of words that the item has, a paraphrase enough of them, but for those outside of the passage.
     """
     now = best = np.zeros((held.shape[0], held.shape[2]), dtype=np.uint8)
     for j in range(held.shape[1]):
         now = (now + 1) * held[:, j]
         best = np.maximum(best, now)
-    return best >= need, held.sum(axis=1, dtype=np.uint8) >= PARAPHRASE * PASSAGE
+    return best >= need, held.sum(axis=1, dtype=np.uint8) >= np.maximum(1, told - OUTSIDE)
 
 
 def common(passages: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,47 +233,62 @@ def _search(coded: DataFrame, items: Items, tau: float, rank: int, seed: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, idf, basis, latent = sent.value
-        item_ids, least = np.array(items.item_ids, dtype=np.int64), int(items.need.min())
+        item_ids = np.array(items.item_ids, dtype=np.int64)
+        least, few = int(items.need.min()), max(1, int(items.told.min()) - OUTSIDE)
         holds = np.zeros((len(items.vocabulary) + 2, len(item_ids)), dtype=np.uint8)  # the last two rows are for -1 and -2
         enough = tau * np.sqrt(items.need / RUN)  # a short item makes up less of a passage
         for i, text in enumerate(items.texts):
             holds[text[text >= 0], i] = 1
+
+        def out(doc_ids, item, cosine, lcs, long, told, full) -> pa.RecordBatch:
+            """Rows of pairs; told: the words among which the distinctive ones are looked for."""
+            share = np.array([len(items.distinctive[b] & set(w.tolist())) / max(1, min(len(items.distinctive[b]), 4)) for w, b in zip(told, item)])
+            good = full | (share >= ANSWER)
+            columns = [
+                pa.array(doc_ids[good]),
+                pa.array(item_ids[item[good]]),
+                pa.array(cosine[good].astype(np.float64)),
+                pa.array(lcs[good].astype(np.int32)),
+                pa.array(long[good].astype(np.int32)),
+                pa.array(np.minimum(share[good], 1.0)),
+                pa.array(full[good]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "cosine", "lcs", "run", "answer", "verbatim"])
+
         for batch in batches:
-            doc, _, table = passage_words(batch)
-            keep = longest_run_known(table) >= least
-            doc, table = doc[keep], table[keep]
+            doc, at, table = passage_words(batch)
+            keep = (longest_run_known(table) >= least) | ((table >= 0).sum(axis=1) >= few)
+            doc, at, table = doc[keep], at[keep], table[keep]
             doc_ids = batch.column("doc_id").to_numpy()
             for k in range(0, len(table), ROWS):
-                some = table[k : k + ROWS]
+                some, of, begin = table[k : k + ROWS], doc[k : k + ROWS], at[k : k + ROWS]
                 z = unit(project(*weighted(some, idf), basis)).astype(np.float32)
                 cosine = np.maximum.reduceat(z @ latent.T, items.window_of, axis=1)
-                case, near = possible(holds[some], items.need)
-                p, i = np.nonzero(case | (near & (cosine >= enough)))
+                case, near = possible(holds[some], items.need, items.told)
+                p, i = np.nonzero(case)
                 for c in range(0, len(p), 4096):
                     pc, ic = p[c : c + 4096], i[c : c + 4096]
                     lcs, long = common(some[pc], items.texts[ic])
-                    cos = cosine[pc, ic]
-                    good = (lcs >= items.need[ic]) & ((long >= items.need[ic]) | (lcs >= PARAPHRASE * PASSAGE))
-                    pc, ic, lcs, long, cos = pc[good], ic[good], lcs[good], long[good], cos[good]
+                    good = long >= items.need[ic]
+                    if good.any():
+                        pc, ic = pc[good], ic[good]
+                        yield out(doc_ids[of[pc]], ic, cosine[pc, ic], lcs[good], long[good], some[pc], np.ones(len(pc), dtype=bool))
+                p, i = np.nonzero(near & (cosine >= enough))
+                for c in range(0, len(p), 4096):
+                    pc, ic = p[c : c + 4096], i[c : c + 4096]
+                    # a stretch that meets the passage in its greater part lies in these words
+                    good = common(stretches(batch, of[pc], begin[pc] - OUTSIDE, PASSAGE + 2 * OUTSIDE), items.texts[ic])[0] >= items.told[ic]
+                    pc, ic = pc[good], ic[good]
                     if not len(pc):
                         continue
-                    share = np.array(
-                        [len(items.distinctive[b] & set(some[a].tolist())) / max(1, min(len(items.distinctive[b]), 4)) for a, b in zip(pc, ic)]
-                    )
-                    full = long >= items.need[ic]
-                    told = full | (share >= ANSWER)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(doc_ids[doc[k : k + ROWS][pc[told]]]),
-                            pa.array(item_ids[ic[told]]),
-                            pa.array(cos[told].astype(np.float64)),
-                            pa.array(lcs[told].astype(np.int32)),
-                            pa.array(long[told].astype(np.int32)),
-                            pa.array(np.minimum(share[told], 1.0)),
-                            pa.array(full[told]),
-                        ],
-                        names=["doc_id", "item_id", "cosine", "lcs", "run", "answer", "verbatim"],
-                    )
+                    shifts = np.arange(-OUTSIDE, OUTSIDE + 1)
+                    each = stretches(batch, np.repeat(of[pc], len(shifts)), (begin[pc][:, None] + shifts).ravel(), PASSAGE)
+                    lcs, long = (x.reshape(len(pc), len(shifts)) for x in common(each, np.repeat(items.texts[ic], len(shifts), axis=0)))
+                    row, shift = np.nonzero(lcs >= items.told[ic][:, None])
+                    if len(row):
+                        there = each.reshape(len(pc), len(shifts), PASSAGE)[row, shift]
+                        pc, ic = pc[row], ic[row]
+                        yield out(doc_ids[of[pc]], ic, cosine[pc, ic], lcs[row, shift], long[row, shift], there, np.zeros(len(row), dtype=bool))
 
     return coded.mapInArrow(run, "doc_id bigint, item_id bigint, cosine double, lcs int, run int, answer double, verbatim boolean")
 
@@ -279,17 +308,20 @@ def leaks(
 
     Result, one row per (doc_id, item_id): ``cosine`` (greatest), ``lcs`` and ``run`` (words in common, in order and in a
     row, of the best passage), ``answer`` (share of the item's distinctive words named, 4 at most counted), ``verbatim``
-    (13 words in a row, or the whole of a shorter item). Rows that aren't verbatim are paraphrases.
+    (13 words in a row, or the whole of a shorter item). Rows that aren't verbatim are paraphrases: 26 words in a row of the
+    document have at least ``PARAPHRASE`` of the item's words (of 26, if they are more) in order, and ``ANSWER`` of its
+    distinctive ones. Whether an item is found doesn't depend on the other items but through the weights of words.
 
     Null and empty texts and texts without a word give no rows; neither do items without a word. Repeated documents or
     items count once; rows that share an id are taken together. Texts of any length are processed whole. Empty tables
     give an empty result. Other columns are ignored.
     """
     ship(documents.sparkSession)
-    rows = sorted((r[0], r[1]) for r in items.select(F.col(f"`{item_id}`").cast("bigint"), F.col(f"`{text}`")).where(f"`{item_id}` is not null").distinct().collect())
+    picked = items.select(F.col(f"`{item_id}`").cast("bigint").alias("item"), F.col(f"`{text}`").alias("text")).where("item is not null").distinct()
+    listed = ((r[0], r[1]) for r in picked.orderBy("item", "text").toLocalIterator())  # the query set, a block at a time
     out = None
-    for k in range(0, len(rows), BLOCK):
-        block = prepare(rows[k : k + BLOCK])
+    while rows := list(islice(listed, BLOCK)):
+        block = prepare(rows)
         if not block.item_ids:
             continue
         found = _search(stage(code(documents, block.vocabulary, doc_id, text)), block, tau, rank, seed)
