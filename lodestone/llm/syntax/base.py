@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-#: Nested constructs from which a text is left undecided.
-DEEPEST = 1500
+#: Nested constructs from which a text is refused, as compilers do at their own limits.
+DEEPEST = 3000
 
 
 class Fault(Exception):
@@ -16,8 +17,18 @@ class Fault(Exception):
         self.message, self.line = message, line
 
 
-class Undecided(Exception):
-    """The text is nested too deeply to be judged."""
+class Deep(Exception):
+    """The text is nested too deeply."""
+
+
+class OnlyFirst(list):
+    """Errors of a text for which only whether there are any is asked."""
+
+    class Found(Exception):
+        pass
+
+    def append(self, error) -> None:
+        raise OnlyFirst.Found
 
 
 @dataclass(slots=True)
@@ -34,6 +45,79 @@ class Token:
         return self.at + len(self.text)
 
 
+class Cut:
+    """Stands for all tokens behind the part of a text that has been lexed. To look at it is to need more of the text."""
+
+    class Reached(Exception):
+        pass
+
+    def __getattr__(self, name: str):
+        raise Cut.Reached
+
+
+def fails_early(text: str, lex, parser, size: int) -> bool:
+    """Whether an error shows in the first ``size`` characters, whatever follows them.
+
+    The last tokens may be others once the text goes on, and so are cut off. An error that the parser finds without having
+    looked at the cut is an error of the whole text. False tells nothing.
+    """
+    end = text.find("\n", size)
+    try:
+        tokens = lex(text[:end]) if 0 <= end < len(text) else []
+    except Fault:
+        return False
+    while tokens and tokens[-1].kind in ("end", "nl", "dedent", "indent"):
+        tokens.pop()
+    if len(tokens) < 8:
+        return False
+    try:
+        parse = parser([*tokens[:-4], Cut()])
+        parse.errors = OnlyFirst()
+        parse.run()
+    except OnlyFirst.Found:
+        return True
+    except (Cut.Reached, RecursionError):
+        pass
+    return False
+
+
+_LINE_END = re.compile(r"[\n\r]|\Z")
+_WORD = re.compile(r"\w*")
+
+
+def missed(text: str, at: int, fault: Fault, errors: list | None, out: list[Token], nl: bool) -> int:
+    """Record a lexical error at ``at`` and go on behind it: behind the line for what has no end, else behind the word or sign.
+
+    A literal leaves a token of its kind, so that the parser doesn't find the same fault again. Without ``errors`` the
+    fault is raised.
+    """
+    if errors is None:
+        raise fault
+    errors.append((fault.line, fault.message))
+    if at >= len(text):
+        return at
+    if "comment" in fault.message:
+        return len(text)
+    for word, kind in (("string", "str"), ("character literal", "chr"), ("regular", "re"), ("template", "tpl"), ("bytes", "str")):
+        if word in fault.message:
+            end = _LINE_END.search(text, at).start()
+            out.append(Token(kind, text[at:end], fault.line, at, nl, []))
+            return max(end, at + 1)
+    if "number" in fault.message:
+        end = _WORD.match(text, at).end()
+        out.append(Token("num", text[at:end], fault.line, at, nl))
+        return max(end, at + 1)
+    return at if "indentation" in fault.message else at + 1
+
+
+def checked(text: str, lex, parser, errors: list) -> list[tuple[int, str]]:
+    """All errors of a text, lexical and syntactic, in the order of their lines."""
+    tokens = lex(text, errors=errors)
+    parse = parser(tokens)
+    parse.errors = errors
+    return sorted(parse.run(), key=lambda e: e[0])
+
+
 class Parser:
     """Recursive descent over a list of tokens that ends in one of kind ``end``."""
 
@@ -79,7 +163,7 @@ class Parser:
     def deeper(self) -> None:
         self.depth += 1
         if self.depth > DEEPEST:
-            raise Undecided
+            raise Deep
 
     def guess(self, parse):
         """The result of ``parse`` (true), or false with the place kept where it fails."""
@@ -117,7 +201,7 @@ class Parser:
             self.step()
 
     def run(self) -> list[tuple[int, str]]:
-        """Parse the whole text; all errors, in order. Those before a place nested too deeply are a verdict without the rest."""
+        """Parse the whole text; all errors, in order. A place nested too deeply is the last."""
         while self.tok.kind != "end":
             begin, depth = self.i, self.depth
             try:
@@ -127,9 +211,8 @@ class Parser:
                 self.recover(fault, begin)
                 if self.on("}"):
                     self.step()
-            except (Undecided, RecursionError):
-                if not self.errors:
-                    raise
+            except (Deep, RecursionError):
+                self.errors.append((self.tok.line, "nested too deeply"))
                 break
         return self.errors
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from lodestone.llm.syntax.base import Fault, Parser, Token
+from lodestone.llm.syntax.base import Fault, Parser, Token, checked, missed
 
 TOKEN = re.compile(
     r"""(?P<ws>[ \t\r]+)|(?P<nl>\n)|(?P<lc>//[^\n]*)|(?P<bc>/\*(?:[^*]|\*(?!/))*\*/)"""
@@ -20,8 +20,8 @@ BINARY = {"||": 1, "&&": 2, "==": 3, "!=": 3, "<": 3, "<=": 3, ">": 3, ">=": 3,
 ASSIGN = frozenset("= := += -= *= /= %= &= |= ^= <<= >>= &^=".split())
 
 
-def lex(text: str) -> list[Token]:
-    """Tokens with the semicolons that line ends stand for (text "\\n")."""
+def lex(text: str, errors: list | None = None) -> list[Token]:
+    """Tokens with the semicolons that line ends stand for (text "\\n"); a lexical error is a Fault, or is added to ``errors``."""
     text = text.removeprefix("﻿")
     out: list[Token] = []
     at, line, n = 0, 1, len(text)
@@ -33,23 +33,26 @@ def lex(text: str) -> list[Token]:
                 out.append(Token("op", ";", line, at, True))
 
     while at < n:
-        m = TOKEN.match(text, at)
-        if not m:
-            raise Fault(f"unexpected {text[at : at + 10]!r}", line)
-        kind, x = m.lastgroup, m.group()
-        if kind == "nl":
-            line_end()
-            line += 1
-        elif kind == "bc":
-            if "\n" in x:
+        try:
+            m = TOKEN.match(text, at)
+            if not m:
+                raise Fault(f"unexpected {text[at : at + 10]!r}", line)
+            kind, x = m.lastgroup, m.group()
+            if kind == "nl":
                 line_end()
-            line += x.count("\n")
-        elif kind not in ("ws", "lc"):
-            if kind == "num" and TOKEN.match(text, m.end()) and TOKEN.match(text, m.end()).lastgroup in ("id", "num"):
-                raise Fault("malformed number", line)
-            out.append(Token(kind, x, line, at, not out or out[-1].line < line))
-            line += x.count("\n") if kind == "str" else 0
-        at = m.end()
+                line += 1
+            elif kind == "bc":
+                if "\n" in x:
+                    line_end()
+                line += x.count("\n")
+            elif kind not in ("ws", "lc"):
+                if kind == "num" and TOKEN.match(text, m.end()) and TOKEN.match(text, m.end()).lastgroup in ("id", "num"):
+                    raise Fault("malformed number", line)
+                out.append(Token(kind, x, line, at, not out or out[-1].line < line))
+                line += x.count("\n") if kind == "str" else 0
+            at = m.end()
+        except Fault as fault:
+            at = missed(text, at, fault, errors, out, not out or out[-1].line < line)
     line_end()
     out.append(Token("end", "", line, n, True))
     return out
@@ -619,9 +622,5 @@ class Go(Parser):
             self.expression()
 
 
-def check(text: str) -> list[tuple[int, str]]:
-    try:
-        tokens = lex(text)
-    except Fault as fault:
-        return [(fault.line, fault.message)]
-    return Go(tokens).run()
+def check(text: str, errors: list) -> list[tuple[int, str]]:
+    return checked(text, lex, lambda tokens: Go(tokens), errors)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from lodestone.llm.syntax.base import Fault, Parser, Token
+from lodestone.llm.syntax.base import Fault, Parser, Token, checked, missed
 
 TOKEN = re.compile(
     r"""(?P<ws>[ \t\f\r\n\x1a]+)|(?P<lc>//[^\n\r]*)|(?P<bc>/\*(?:[^*]|\*(?!/))*\*/)"""
@@ -26,26 +26,29 @@ ASSIGN = frozenset("= += -= *= /= %= &= |= ^= <<=".split())
 STATEMENTS = frozenset(("assign", "call", "new", "step"))
 
 
-def lex(text: str) -> list[Token]:
-    """Tokens; ``>`` always comes alone."""
+def lex(text: str, errors: list | None = None) -> list[Token]:
+    """Tokens; ``>`` always comes alone. A lexical error is a Fault, or is added to ``errors``."""
     text = text.removeprefix("﻿")
     out: list[Token] = []
     at, line, n, last = 0, 1, len(text), 0
     while at < n:
-        m = TOKEN.match(text, at)
-        if not m:
-            what = {'"': "string without an end", "'": "character literal without an end"}.get(text[at])
-            raise Fault(what or ("comment without an end" if text.startswith("/*", at) else f"unexpected {text[at : at + 10]!r}"), line)
-        kind, x = m.lastgroup, m.group()
-        if text.startswith("/*", at) and kind == "op":
-            raise Fault("comment without an end", line)
-        if kind not in ("ws", "lc", "bc"):
-            if kind == "num" and (y := TOKEN.match(text, m.end())) and y.lastgroup in ("id", "num"):
-                raise Fault("malformed number", line)
-            out.append(Token(kind, x, line, at, line > last))
-            last = line
-        line += x.count("\n") if "\n" in x else x.count("\r")
-        at = m.end()
+        try:
+            m = TOKEN.match(text, at)
+            if not m:
+                what = {'"': "string without an end", "'": "character literal without an end"}.get(text[at])
+                raise Fault(what or ("comment without an end" if text.startswith("/*", at) else f"unexpected {text[at : at + 10]!r}"), line)
+            kind, x = m.lastgroup, m.group()
+            if text.startswith("/*", at) and kind == "op":
+                raise Fault("comment without an end", line)
+            if kind not in ("ws", "lc", "bc"):
+                if kind == "num" and (y := TOKEN.match(text, m.end())) and y.lastgroup in ("id", "num"):
+                    raise Fault("malformed number", line)
+                out.append(Token(kind, x, line, at, line > last))
+                last = line
+            line += x.count("\n") if "\n" in x else x.count("\r")
+            at = m.end()
+        except Fault as fault:
+            at = missed(text, at, fault, errors, out, not out or out[-1].line < line)
     out.append(Token("end", "", line, n, True))
     return out
 
@@ -969,9 +972,5 @@ class Java(Parser):
         return "new"
 
 
-def check(text: str) -> list[tuple[int, str]]:
-    try:
-        tokens = lex(text)
-    except Fault as fault:
-        return [(fault.line, fault.message)]
-    return Java(tokens).run()
+def check(text: str, errors: list) -> list[tuple[int, str]]:
+    return checked(text, lex, lambda tokens: Java(tokens), errors)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-from lodestone.llm.syntax.base import DEEPEST, Undecided
-
 TOKEN = re.compile(
     r"""[ \t\r\n]*(?:(?P<str>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<num>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.])"""
     r"""|(?P<lit>true|false|null)(?!\w)|(?P<op>[{}\[\]:,]))""",
@@ -13,64 +11,72 @@ TOKEN = re.compile(
 )
 
 
-def check(text: str) -> list[tuple[int, str]]:
-    """Errors as (line, message). The first one ends the parse: JSON has no statements to go on with.
+#: Where reading goes on behind an error.
+RESUME = re.compile(r"[,\]}]")
+CLOSES = {"}": "{", "]": "["}
+
 
-    Errors are found at any depth; a text without one that is nested beyond ``DEEPEST`` is left undecided.
-    """
-    text = text.removeprefix("﻿")
-    at = deepest = 0
+def check(text: str, errors: list) -> list[tuple[int, str]]:
+    """Errors as (line, message), found at any depth. Behind an error reading goes on at the next comma or closing bracket."""
+    text = text.removeprefix("\ufeff")
+    at, n = 0, len(text)
+    seen, line = 0, 1
     stack: list[str] = []
     want = "value"  # value, value or ], key or }, key, colon, next, end
 
-    def fault(message: str) -> list[tuple[int, str]]:
-        return [(text.count("\n", 0, at) + 1, message)]
+    def fault(message: str, place: int) -> None:
+        nonlocal seen, line
+        line += text.count("\n", seen, place)
+        seen = place
+        errors.append((line, message))
+
+    def resume(place: int) -> int:
+        """Behind the next comma or closing bracket from ``place`` on; sets what is wanted there."""
+        nonlocal want
+        m = RESUME.search(text, place)
+        if not m:
+            want = "end"
+            stack.clear()
+            return n
+        x = m.group()
+        if x == ",":
+            want = "key" if stack and stack[-1] == "{" else "value" if stack else "end"
+        else:
+            while stack and CLOSES[x] in stack:
+                if stack.pop() == CLOSES[x]:
+                    break
+            want = "next" if stack else "end"
+        return m.end()
 
     while True:
         m = TOKEN.match(text, at)
         if not m:
-            rest = text[at:].strip(" \t\r\n")
-            if rest:
-                at += len(text[at:]) - len(text[at:].lstrip(" \t\r\n"))
-                return fault(f"not a token: {rest[:20]!r}")
+            begin = at + len(text[at:]) - len(text[at:].lstrip(" \t\r\n"))
+            if begin < n:
+                fault(f"not a token: {text[begin : begin + 20]!r}", begin)
+                at = resume(begin)
+                continue
             if want != "end":
-                return fault(f"expected {want}, found the end of the text")
-            if deepest > DEEPEST:
-                raise Undecided
-            return []
-        at, kind, x = m.start(m.lastgroup), m.lastgroup, m.group(m.lastgroup)
-        if want.startswith("value"):
-            if kind != "op":
-                want = "next" if stack else "end"
-            elif x in "{[":
-                stack.append(x)
-                deepest = max(deepest, len(stack))
-                want = "key or }" if x == "{" else "value or ]"
-            elif x == "]" and want == "value or ]":
-                stack.pop()
-                want = "next" if stack else "end"
-            else:
-                return fault(f"expected {want}, found {x!r}")
-        elif want.startswith("key"):
-            if kind == "str":
-                want = "colon"
-            elif x == "}" and want == "key or }":
-                stack.pop()
-                want = "next" if stack else "end"
-            else:
-                return fault(f"expected {want}, found {x[:20]!r}")
-        elif want == "colon":
-            if x != ":":
-                return fault(f"expected ':', found {x[:20]!r}")
+                fault(f"expected {want}, found the end of the text", n)
+            return errors
+        begin, kind, x, at = m.start(m.lastgroup), m.lastgroup, m.group(m.lastgroup), m.end()
+        if want.startswith("value") and kind != "op":
+            want = "next" if stack else "end"
+        elif want.startswith("value") and x in "{[" and kind == "op":
+            stack.append(x)
+            want = "key or }" if x == "{" else "value or ]"
+        elif want.startswith("key") and kind == "str":
+            want = "colon"
+        elif want == "colon" and x == ":":
             want = "value"
-        elif want == "next":
-            if x == ",":
-                want = "key" if stack[-1] == "{" else "value"
-            elif kind == "op" and x == ("}" if stack[-1] == "{" else "]"):
-                stack.pop()
-                want = "next" if stack else "end"
-            else:
-                return fault(f"expected ',' or a closing bracket, found {x[:20]!r}")
+        elif want == "next" and x == "," and kind == "op":
+            want = "key" if stack[-1] == "{" else "value"
+        elif want in ("next", "value or ]", "key or }") and kind == "op" and CLOSES.get(x) == stack[-1]:
+            stack.pop()
+            want = "next" if stack else "end"
         else:
-            return fault(f"text behind the value: {x[:20]!r}")
-        at = m.end()
+            expected = {"next": "',' or a closing bracket", "colon": "':'"}.get(want, want)
+            fault(f"expected {expected}, found {x[:20]!r}" if want != "end" else f"text behind the value: {x[:20]!r}", begin)
+            if want == "end" and not stack:
+                return errors
+            at = resume(begin)

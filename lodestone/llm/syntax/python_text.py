@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from lodestone.llm.syntax.base import Fault, Parser, Token
+from lodestone.llm.syntax.base import Fault, Parser, Token, checked, missed
 
 NUMBER = re.compile(
     r"(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)"
@@ -129,8 +129,8 @@ def field(text: str, i: int, line: int, quote: str, parts: list) -> int:
     return i + 1
 
 
-def lex(text: str, line: int = 1, inner: bool = False) -> list[Token]:
-    """Tokens with nl, indent and dedent. ``inner``: an expression, in which lines don't count."""
+def lex(text: str, line: int = 1, inner: bool = False, errors: list | None = None) -> list[Token]:
+    """Tokens with nl, indent and dedent. ``inner``: an expression, in which lines don't count. A lexical error is a Fault, or is added to ``errors``."""
     text = text.removeprefix("﻿")
     out: list[Token] = []
     brackets: list[tuple[str, int]] = []
@@ -138,96 +138,104 @@ def lex(text: str, line: int = 1, inner: bool = False) -> list[Token]:
     at, n = 0, len(text)
     fresh = not inner
     while at < n:
-        if fresh:
-            begin, col, alt = at, 0, 0
-            while at < n and text[at] in " \t\f":
-                c = text[at]
-                col = col + 1 if c == " " else (col // 8 + 1) * 8 if c == "\t" else 0
-                alt = alt + 1 if c != "\f" else 0
-                at += 1
-            if at >= n:
-                break
-            if text[at] == "#":
+        try:
+            if fresh:
+                begin, col, alt = at, 0, 0
+                while at < n and text[at] in " \t\f":
+                    c = text[at]
+                    col = col + 1 if c == " " else (col // 8 + 1) * 8 if c == "\t" else 0
+                    alt = alt + 1 if c != "\f" else 0
+                    at += 1
+                if at >= n:
+                    break
+                if text[at] == "#":
+                    while at < n and text[at] not in "\r\n":
+                        at += 1
+                if m := LINE.match(text, at):
+                    at, line = m.end(), line + 1
+                    continue
+                if at >= n:
+                    break
+                if text[at] == "\\" and LINE.match(text, at + 1):
+                    at, line = LINE.match(text, at + 1).end(), line + 1
+                    continue
+                if col > indents[-1][0]:
+                    if alt <= indents[-1][1]:
+                        raise Fault("tabs and blanks mixed in an indentation", line)
+                    indents.append((col, alt))
+                    out.append(Token("indent", "", line, begin))
+                else:
+                    while col < indents[-1][0]:
+                        indents.pop()
+                        out.append(Token("dedent", "", line, begin))
+                    if col != indents[-1][0]:
+                        raise Fault("indentation that matches no outer level", line)
+                    if alt != indents[-1][1]:
+                        raise Fault("tabs and blanks mixed in an indentation", line)
+                fresh = False
+            c = text[at]
+            if m := SPACE.match(text, at):
+                if m.group()[0] == "\\":
+                    line += 1
+                    if m.end() >= n:
+                        raise Fault("the text ends in a continued line", line)
+                at = m.end()
+                continue
+            if c == "#":
                 while at < n and text[at] not in "\r\n":
                     at += 1
+                continue
             if m := LINE.match(text, at):
+                if not brackets and not inner:
+                    out.append(Token("nl", "", line, at))
+                    fresh = True
                 at, line = m.end(), line + 1
                 continue
-            if at >= n:
-                break
-            if text[at] == "\\" and LINE.match(text, at + 1):
-                at, line = LINE.match(text, at + 1).end(), line + 1
+            if (c in "'\"" or c in "rRbBuUfFtT") and (s := string(text, at, line)):
+                end, kind, parts, lines = s
+                if kind == "bytes" and not text[at:end].isascii():
+                    raise Fault("bytes with other than ASCII characters", line)
+                out.append(Token("str", kind, line, at, parts=parts))
+                at, line = end, line + lines
                 continue
-            if col > indents[-1][0]:
-                if alt <= indents[-1][1]:
-                    raise Fault("tabs and blanks mixed in an indentation", line)
-                indents.append((col, alt))
-                out.append(Token("indent", "", line, begin))
-            else:
-                while col < indents[-1][0]:
-                    indents.pop()
-                    out.append(Token("dedent", "", line, begin))
-                if col != indents[-1][0]:
-                    raise Fault("indentation that matches no outer level", line)
-                if alt != indents[-1][1]:
-                    raise Fault("tabs and blanks mixed in an indentation", line)
-            fresh = False
-        c = text[at]
-        if m := SPACE.match(text, at):
-            if m.group()[0] == "\\":
-                line += 1
-                if m.end() >= n:
-                    raise Fault("the text ends in a continued line", line)
-            at = m.end()
-            continue
-        if c == "#":
-            while at < n and text[at] not in "\r\n":
-                at += 1
-            continue
-        if m := LINE.match(text, at):
-            if not brackets and not inner:
-                out.append(Token("nl", "", line, at))
-                fresh = True
-            at, line = m.end(), line + 1
-            continue
-        if (c in "'\"" or c in "rRbBuUfFtT") and (s := string(text, at, line)):
-            end, kind, parts, lines = s
-            if kind == "bytes" and not text[at:end].isascii():
-                raise Fault("bytes with other than ASCII characters", line)
-            out.append(Token("str", kind, line, at, parts=parts))
-            at, line = end, line + lines
-            continue
-        if c.isdigit() or (c == "." and text[at + 1 : at + 2].isdigit()):
-            m = NUMBER.match(text, at)
+            if c.isdigit() or (c == "." and text[at + 1 : at + 2].isdigit()):
+                m = NUMBER.match(text, at)
+                x = m.group()
+                tail = WORD.match(text, m.end())
+                if (tail and tail.group() not in ("and", "or", "if", "else", "in", "is", "for", "not")) or text[m.end() : m.end() + 1].isdigit() or re.fullmatch(r"0[0_]*[1-9][\d_]*", x):
+                    raise Fault("malformed number", line)
+                out.append(Token("num", x, line, at))
+                at = m.end()
+                continue
+            if m := WORD.match(text, at):
+                out.append(Token("id", m.group(), line, at))
+                at = m.end()
+                continue
+            m = OP.match(text, at)
+            if not m or m.group() == "!":
+                raise Fault(f"unexpected character {c!r}", line)
             x = m.group()
-            tail = WORD.match(text, m.end())
-            if (tail and tail.group() not in ("and", "or", "if", "else", "in", "is", "for", "not")) or text[m.end() : m.end() + 1].isdigit() or re.fullmatch(r"0[0_]*[1-9][\d_]*", x):
-                raise Fault("malformed number", line)
-            out.append(Token("num", x, line, at))
+            if x in CLOSE:
+                brackets.append((x, line))
+                if len(brackets) > 200:  # as CPython
+                    raise Fault("too many nested brackets", line)
+            elif x in (")", "]", "}"):
+                if not brackets:
+                    raise Fault(f"unmatched '{x}'", line)
+                if CLOSE[brackets[-1][0]] != x:
+                    raise Fault(f"'{x}' doesn't close '{brackets[-1][0]}'", line)
+                brackets.pop()
+            out.append(Token("op", x, line, at))
             at = m.end()
-            continue
-        if m := WORD.match(text, at):
-            out.append(Token("id", m.group(), line, at))
-            at = m.end()
-            continue
-        m = OP.match(text, at)
-        if not m or m.group() == "!":
-            raise Fault(f"unexpected character {c!r}", line)
-        x = m.group()
-        if x in CLOSE:
-            brackets.append((x, line))
-            if len(brackets) > 200:  # as CPython
-                raise Fault("too many nested brackets", line)
-        elif x in (")", "]", "}"):
-            if not brackets:
-                raise Fault(f"unmatched '{x}'", line)
-            if CLOSE[brackets[-1][0]] != x:
-                raise Fault(f"'{x}' doesn't close '{brackets[-1][0]}'", line)
-            brackets.pop()
-        out.append(Token("op", x, line, at))
-        at = m.end()
+        except Fault as fault:
+            if fresh:  # an indentation that fits nowhere: the line is read as if it were at the level left
+                fresh = False
+            elif brackets and text[at] in ")]}":
+                if errors is not None:
+                    brackets.pop()
+            at = missed(text, at, fault, errors, out, False)
     if brackets:
-        raise Fault(f"'{brackets[-1][0]}' was never closed", brackets[-1][1])
+        missed(text, n, Fault(f"'{brackets[-1][0]}' was never closed", brackets[-1][1]), errors, out, False)
     if not inner:
         if out and out[-1].kind not in ("nl", "indent", "dedent"):
             out.append(Token("nl", "", line, n))
@@ -1043,11 +1051,8 @@ class Python(Parser):
         return "value"
 
 
-def check(text: str) -> list[tuple[int, str]]:
+def check(text: str, errors: list) -> list[tuple[int, str]]:
     if "\x00" in text:
-        return [(text.count("\n", 0, text.index("\x00")) + 1, "a null character")]
-    try:
-        tokens = lex(text)
-    except Fault as fault:
-        return [(fault.line, fault.message)]
-    return Python(tokens).run()
+        errors.append((text.count("\n", 0, text.index("\x00")) + 1, "a null character"))
+        text = text.replace("\x00", " ")
+    return checked(text, lex, lambda tokens: Python(tokens), errors)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from lodestone.llm.syntax.base import Fault, Parser, Token
+from lodestone.llm.syntax.base import Fault, Parser, Token, checked, missed
 
 SPACE = re.compile(r"[ \t\f\v ﻿ - 　]+")
 LINE = re.compile(r"\r\n|[\n\r  ]")
@@ -27,76 +27,80 @@ BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "
 ASSIGN = frozenset("= += -= *= /= %= **= <<= &= |= ^= &&= ||= ??=".split())
 
 
-def lex(text: str, line: int = 1) -> list[Token]:
-    """Tokens; a lexical error is a Fault. ``>`` always comes alone: the parser joins neighbours."""
+def lex(text: str, line: int = 1, errors: list | None = None) -> list[Token]:
+    """Tokens; a lexical error is a Fault, or is added to ``errors``. ``>`` always comes alone: the parser joins neighbours."""
     out: list[Token] = []
     at, n, nl = 0, len(text), False
     if text.startswith("#!"):
         at = LINE.search(text).start() if LINE.search(text) else n
     while at < n:
-        c = text[at]
-        if m := SPACE.match(text, at):
-            at = m.end()
-            continue
-        if m := LINE.match(text, at):
-            at, nl, line = m.end(), True, line + 1
-            continue
-        if c == "/":
-            if text.startswith("//", at):
-                at = LINE_COMMENT.match(text, at).end()
+        try:
+            c = text[at]
+            if m := SPACE.match(text, at):
+                at = m.end()
                 continue
-            if text.startswith("/*", at):
-                end = text.find("*/", at + 2)
-                if end < 0:
-                    raise Fault("comment without an end", line)
-                lines = len(LINE.findall(text, at, end))
-                nl, line, at = nl or lines > 0, line + lines, end + 2
+            if m := LINE.match(text, at):
+                at, nl, line = m.end(), True, line + 1
                 continue
-            p = out[-1] if out else None
-            value = p is not None and (p.kind in ("num", "str", "tpl", "re", "priv") or p.text in (")", "]") or (p.text == "}" and not nl) or (p.kind == "id" and p.text not in BEFORE_REGEX) or p.text in ("++", "--"))
-            if not value:
-                m = REGEX.match(text, at)
+            if c == "/":
+                if text.startswith("//", at):
+                    at = LINE_COMMENT.match(text, at).end()
+                    continue
+                if text.startswith("/*", at):
+                    end = text.find("*/", at + 2)
+                    if end < 0:
+                        raise Fault("comment without an end", line)
+                    lines = len(LINE.findall(text, at, end))
+                    nl, line, at = nl or lines > 0, line + lines, end + 2
+                    continue
+                p = out[-1] if out else None
+                value = p is not None and (p.kind in ("num", "str", "tpl", "re", "priv") or p.text in (")", "]") or (p.text == "}" and not nl) or (p.kind == "id" and p.text not in BEFORE_REGEX) or p.text in ("++", "--"))
+                if not value:
+                    m = REGEX.match(text, at)
+                    if not m:
+                        raise Fault("regular expression without an end", line)
+                    if len(set(m["flags"])) < len(m["flags"]) or set(m["flags"]) - set("dgimsuvy"):
+                        raise Fault("unknown flags of a regular expression", line)
+                    out.append(Token("re", m.group(), line, at, nl))
+                    at, nl = m.end(), False
+                    continue
+            if c in "'\"":
+                m = STRING.match(text, at)
                 if not m:
-                    raise Fault("regular expression without an end", line)
-                if len(set(m["flags"])) < len(m["flags"]) or set(m["flags"]) - set("dgimsuvy"):
-                    raise Fault("unknown flags of a regular expression", line)
-                out.append(Token("re", m.group(), line, at, nl))
+                    raise Fault("string without an end", line)
+                out.append(Token("str", m.group(), line, at, nl))
+                line += len(LINE.findall(m.group()))
                 at, nl = m.end(), False
                 continue
-        if c in "'\"":
-            m = STRING.match(text, at)
+            if c == "`":
+                end, parts = template(text, at, line)
+                out.append(Token("tpl", text[at:end], line, at, nl, parts))
+                line += len(LINE.findall(text, at, end))
+                at, nl = end, False
+                continue
+            if c.isdigit() or (c == "." and text[at + 1 : at + 2].isdigit()):
+                m = NUMBER.match(text, at)
+                if not m or WORD.match(text, m.end()) or text[m.end() : m.end() + 1].isdigit():
+                    raise Fault("malformed number", line)
+                out.append(Token("num", m.group(), line, at, nl))
+                at, nl = m.end(), False
+                continue
+            if m := WORD.match(text, at):
+                out.append(Token("id", m.group(), line, at, nl))
+                at, nl = m.end(), False
+                continue
+            if c == "#" and (m := WORD.match(text, at + 1)):
+                out.append(Token("priv", "#" + m.group(), line, at, nl))
+                at, nl = m.end(), False
+                continue
+            m = PUNCT.match(text, at)
             if not m:
-                raise Fault("string without an end", line)
-            out.append(Token("str", m.group(), line, at, nl))
-            line += len(LINE.findall(m.group()))
-            at, nl = m.end(), False
-            continue
-        if c == "`":
-            end, parts = template(text, at, line)
-            out.append(Token("tpl", text[at:end], line, at, nl, parts))
-            line += len(LINE.findall(text, at, end))
-            at, nl = end, False
-            continue
-        if c.isdigit() or (c == "." and text[at + 1 : at + 2].isdigit()):
-            m = NUMBER.match(text, at)
-            if not m or WORD.match(text, m.end()) or text[m.end() : m.end() + 1].isdigit():
-                raise Fault("malformed number", line)
-            out.append(Token("num", m.group(), line, at, nl))
-            at, nl = m.end(), False
-            continue
-        if m := WORD.match(text, at):
-            out.append(Token("id", m.group(), line, at, nl))
+                raise Fault(f"unexpected character {c!r}", line)
+            out.append(Token("op", m.group(), line, at, nl))
             at, nl = m.end(), False
-            continue
-        if c == "#" and (m := WORD.match(text, at + 1)):
-            out.append(Token("priv", "#" + m.group(), line, at, nl))
-            at, nl = m.end(), False
-            continue
-        m = PUNCT.match(text, at)
-        if not m:
-            raise Fault(f"unexpected character {c!r}", line)
-        out.append(Token("op", m.group(), line, at, nl))
-        at, nl = m.end(), False
+        except Fault as fault:
+            at = missed(text, at, fault, errors, out, nl)
+            nl = False
     out.append(Token("end", "", line, n, True))
     return out
 
@@ -1534,9 +1538,5 @@ class Script(Parser):
         self.need("}")
 
 
-def check(text: str, typed: bool) -> list[tuple[int, str]]:
-    try:
-        tokens = lex(text)
-    except Fault as fault:
-        return [(fault.line, fault.message)]
-    return Script(tokens, typed).run()
+def check(text: str, typed: bool, errors: list) -> list[tuple[int, str]]:
+    return checked(text, lex, lambda tokens: Script(tokens, typed), errors)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.syntax import LANGUAGES, Undecided, check
+from lodestone.llm.syntax import LANGUAGES, accepts, check
 from lodestone.plans.staging import ship, spread
 from lodestone.plans.standing import standing
 
@@ -33,14 +33,16 @@ def plain_language(column: Column) -> Column:
     return out
 
 
-def verdict(text: str, language: str) -> tuple[bool | None, list[tuple[int, str]]]:
-    try:
-        errors = check(text, language)
-    except Undecided:
-        return None, []
+def verdict(text: str, language: str) -> tuple[bool, list[tuple[int, str]]]:
+    errors = check(text, language)
     return not errors, errors
 
 
+def accepting(text: str, language: str, valid: bool) -> list[str]:
+    """The languages whose parsers accept a text that is (not) valid in its own."""
+    return [x for x in LANGUAGES if (valid if x == language else accepts(text, x))]
+
+
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         valid, line, cause, every, accepted = [], [], [], [], []
@@ -50,7 +52,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line.append(errors[0][0] if errors else None)
             cause.append(errors[0][1] if errors else None)
             every.append([{"line": n, "message": m} for n, m in errors])
-            accepted.append([x for x in LANGUAGES if x == language and ok or x != language and verdict(text, x)[0]] if ok is False else [language] if ok else [])
+            accepted.append([] if text is None else accepting(text, language, ok))
         yield pa.RecordBatch.from_arrays(
             [
                 *[batch.column(c) for c in ("repo_id", "file_id", "language", "scanned_at", "tie")],
@@ -68,13 +70,13 @@ def check_files(files: DataFrame) -> DataFrame:
     """The syntax of every file whose extension has a parser.
 
     files: repo_id, file_id, path, contents, scanned_at. Result, one row per (repo_id, file_id): ``language`` of the
-    extension, ``valid``, ``line`` and ``cause`` of the first error, all ``errors``, and ``accepted_by``, the languages
-    whose parser accepts the text (worked out for invalid files; a file under a wrong extension shows its own there).
+    extension, ``valid``, ``line`` and ``cause`` of the first error, all ``errors``, lexical ones included, and
+    ``accepted_by``, the languages whose parser accepts the text (a file under a wrong extension shows its own there).
 
     The row with the greatest scanned_at stands; at equal times the one whose contents have the greater hash. Texts are
-    parsed where they are read, and only verdicts are shuffled. ``valid`` is null where contents are null, or nested too
-    deeply (about 1,500 levels) to be judged and without an error before that place. Errors of JSON are
-    found at any depth, and Python has an error beyond 200 open brackets. An empty text is judged like any other: valid in all but JSON and Go. Null
+    parsed where they are read, and only verdicts are shuffled. ``valid`` is null only where contents are null. A text
+    nested deeper than some 3,000 levels has an error that says so; JSON may nest without bound, and Python has an error
+    beyond 200 open brackets. An empty text is judged like any other: valid in all but JSON and Go. Null
     paths and other extensions give no row; extra columns are ignored; an empty table gives an empty result.
     """
     ship(files.sparkSession)
@@ -93,11 +95,12 @@ def check_files(files: DataFrame) -> DataFrame:
 
 
 def validity_rates(files: DataFrame, regions: DataFrame) -> DataFrame:
-    """(repo_id, language, listed, checked, invalid, rate): invalid files per repository and language.
+    """(repo_id, language, listed, checked, invalid, rate, listed_rate): invalid files per repository and language.
 
     regions: repo_id, region_path, language, files. Spellings of a language are taken together, and of repeated rows of a
-    region and language the greatest count holds; a language that isn't listed has a null ``listed``. ``rate`` is invalid
-    by checked files.
+    region and language the greatest count holds. Every language that is listed or has a checked file has a row: one that
+    isn't listed has a null ``listed``, one without checked files 0 of them. ``rate`` is invalid by checked files,
+    ``listed_rate`` invalid by listed ones; either is null where it would divide by nothing.
     """
     counted = (
         check_files(files)
@@ -108,9 +111,18 @@ def validity_rates(files: DataFrame, regions: DataFrame) -> DataFrame:
     listed = (
         regions.groupBy("repo_id", "region_path", plain_language(F.col("language")).alias("language"))
         .agg(F.max("files").alias("files"))
+        .where("language is not null")
         .groupBy("repo_id", "language")
         .agg(F.sum("files").alias("listed"))
     )
-    return counted.join(listed, ["repo_id", "language"], "left").select(
-        "repo_id", "language", "listed", "checked", "invalid", (F.col("invalid") / F.col("checked")).alias("rate")
+    none = F.lit(0).cast("bigint")
+    joined = counted.join(listed, ["repo_id", "language"], "full").withColumns({"checked": F.coalesce("checked", none), "invalid": F.coalesce("invalid", none)})
+    return joined.select(
+        "repo_id",
+        "language",
+        "listed",
+        "checked",
+        "invalid",
+        F.try_divide("invalid", "checked").alias("rate"),
+        F.try_divide("invalid", "listed").alias("listed_rate"),
     )

@@ -28,7 +28,7 @@ def test_files(spark):
     df = spark.createDataFrame(FILES, SCHEMA)
     got = {(r.repo_id, r.file_id): r for r in check_files(df).collect()}
     assert len(got) == 5
-    assert got[1, "file:a.py"].valid is True and got[1, "file:a.py"].accepted_by == ["python"]
+    assert got[1, "file:a.py"].valid is True and got[1, "file:a.py"].accepted_by == ["python", "javascript", "typescript"]
     assert got[1, "file:b.py"].valid is False and got[1, "file:b.py"].accepted_by == ["javascript", "typescript"]
     assert got[1, "file:c.GO"].valid is False
     assert got[1, "file:d.json"].valid is None
@@ -43,5 +43,5 @@ def test_rates(spark):
         "repo_id bigint, region_path string, language string, files int",
     )
     got = rows(validity_rates(df, regions))
-    assert got == [(1, "go", None, 1, 1, 1.0), (1, "python", 5, 2, 1, 0.5), (2, "python", None, 1, 1, 1.0)]
+    assert got == [(1, "go", None, 1, 1, 1.0, None), (1, "python", 5, 2, 1, 0.5, 0.2), (2, "java", 9, 0, 0, None, 0.0), (2, "python", None, 1, 1, 1.0, None)]
     assert rows(validity_rates(df.limit(0), regions.limit(0))) == []
