@@ -7,7 +7,7 @@ Every file is lexed, its canonical form emitted, and the layout compared with it
 * ``generated``: ``UNIFORM`` of the canonical lines have a shape that repeats, numbers put aside; half of that is enough
   under a heading that says so.
 * ``vendored``: the heading ascribes the file to a project other than the repository, or its code is a near copy (five
-  words, similarity 0.8) of a file of another repository.
+  words, similarity 0.8) of a file of another repository. Code of fewer than five words has no shingle and no copies.
 
 Near copies are classes: files with the same code first, then, by MinHash bands, links of similar code. In a band's
 bucket all are compared with a few leaders at a time, until all have led or all are found to be copies. No member leaves
@@ -32,16 +32,10 @@ from lodestone.plans.staging import join_small, ship, stage
 from lodestone.plans.standing import standing
 
 EXPANSION, LITERAL, UNIFORM = 4.0, 0.65, 0.8
-#: Least code of a blob: shorter ones are constants.
-BLOB = 400
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 8
 #: Leaders of a bucket that its members are compared with in one round.
 LEADERS = 16
-#: Files with fewer shingles are too short to tell a copy from a coincidence.
-LEAST_SHINGLES = 20
-#: Comments that count as the heading.
-HEADING = 3
 
 _MARK = re.compile(r"(?i)@generated|auto-?\s?generated|(?:code|file|source)\s+(?:was\s+)?(?:automatically\s+)?generated|generated by|do not edit|automatically created|was produced by")
 _CUE = re.compile(r"(?i)licen[cs]e|upstream|copyright|\(c\)|permission|redistribut|is part of|all rights|authors|maintainers|release")
@@ -63,9 +57,9 @@ def ascribed_to(comments: list[str]) -> set[str]:
 
 
 def heading(text: str, comments: list[str]) -> list[str]:
-    """The comments before the code, ``HEADING`` at most; those that follow the first lines belong to declarations."""
+    """All comments before the code; those that follow its first lines belong to declarations."""
     out, at = [], 0
-    for c in comments[:HEADING * 2]:
+    for c in comments:
         place = text.find(c, at)
         if text[at:place].strip():
             break
@@ -75,9 +69,9 @@ def heading(text: str, comments: list[str]) -> list[str]:
 
 
 def layout_kind(layout: Layout, head: list[str]) -> str | None:
-    if layout.code >= BLOB and layout.literal >= LITERAL:
+    if layout.literal >= LITERAL:
         return "data"
-    if layout.expansion > EXPANSION and layout.code >= BLOB:
+    if layout.expansion > EXPANSION:
         return "minified"
     if layout.uniformity >= UNIFORM or (layout.uniformity >= UNIFORM / 2 and any(_MARK.search(c) for c in head)):
         return "generated"
@@ -121,9 +115,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = heading(text, layout.comments)
             kind = layout_kind(layout, head)
             grams = shingles(layout.words) if kind is None else np.zeros(0, dtype=np.int64)
-            long = len(grams) >= LEAST_SHINGLES
             rows.append(
-                (repo, file, extension, kind, sorted(ascribed_to(head)), layout.expansion, layout.uniformity, layout.literal, layout.code, grams.tolist() if long else [], bands(grams) if long else [])
+                (repo, file, extension, kind, sorted(ascribed_to(head)), layout.expansion, layout.uniformity, layout.literal, layout.code, grams.tolist(), bands(grams) if len(grams) else [])
             )
         types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         columns = list(zip(*rows)) if rows else [[] for _ in types]
@@ -138,15 +131,16 @@ def copied_codes(features: DataFrame) -> DataFrame:
     sets = stage(coded.dropDuplicates(["code_id"]).drop("repo_id").join(repos, "code_id"))
     found = [sets.where("lo < hi").select("code_id")]
 
-    slots = sets.select("code_id", "lo", "hi", F.posexplode("bands").alias("band", "value"))
+    slots = sets.select("code_id", "lo", "hi", F.size("shingles").alias("n"), F.posexplode("bands").alias("band", "value"))
     first = Window.partitionBy("band", "value").orderBy(F.xxhash64("code_id", "band"), "code_id")
     crowded = slots.groupBy("band", "value").count().where("count > 1").drop("count")
     members = stage(slots.join(crowded, ["band", "value"]).withColumn("r", F.row_number().over(first)))
     led = 0
     while members.limit(1).count():
-        leaders = members.where((F.col("r") > led) & (F.col("r") <= led + LEADERS)).select("band", "value", F.col("code_id").alias("leader"))
+        leaders = members.where((F.col("r") > led) & (F.col("r") <= led + LEADERS)).select("band", "value", F.col("code_id").alias("leader"), F.col("n").alias("n2"))
         led += LEADERS
         met = members.join(leaders, ["band", "value"]).where("code_id != leader")
+        met = met.where(F.least("n", "n2") >= SIMILARITY * F.greatest("n", "n2"))  # else their sets can't be that similar
         pairs = met.select("code_id", "leader").distinct()
         left = sets.select("code_id", F.col("shingles").alias("a"), "lo", "hi")
         right = sets.select(F.col("code_id").alias("leader"), F.col("shingles").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
