@@ -9,7 +9,7 @@
    windows of 16 words that begin every 4 words; a passage with enough words of the item is a candidate for a paraphrase
    when its cosine with one of the windows reaches ``TAU``. Enough is an exact condition too, and each item's own.
 4. Each candidate gets its longest common subsequence, its longest common run and the share of the item's distinctive
-   words that are named (the answer check). For a paraphrase every stretch of 26 words that meets the passage is tried.
+   words that are named (the answer check). For a paraphrase every stretch that the passage holds enough of is tried.
 
 The items are the stated query set: they are sent out in blocks of at most ``BLOCK`` items. Documents are never gathered.
 """
@@ -37,10 +37,10 @@ RANK = 96
 BLOCK = 2000
 #: Passages compared at a time.
 ROWS = 128
-#: Of a candidate without a long common run: a paraphrase has, in order in 26 words, this share of the item's words, or of 26 if they are more ...
+#: Of a candidate without a long common run: a paraphrase has this share of the words of a stretch, or of a shorter item, in order. The stretch is as long as the item, 13 words at least and 26 at most; ...
 PARAPHRASE = 0.7
-#: A stretch of 26 words that begins anywhere has at most so many words outside of its nearest passage.
-OUTSIDE = RUN // 2
+#: ... of one that begins anywhere some passage holds all but so many words at most.
+OUTSIDE = PASSAGE // 2 - RUN // 2 - 1
 #: ... and names this share of the distinctive words of the nearest window.
 ANSWER = 0.5
 
@@ -57,7 +57,9 @@ class Items:
     vocabulary: dict[str, int]
     texts: np.ndarray  # items x longest, -1 behind the end
     need: np.ndarray  # words in a row that make a case
+    width: np.ndarray  # words of the stretch in which a paraphrase lies
     told: np.ndarray  # words in order that make a paraphrase
+    held: np.ndarray  # of these, words in the nearest passage
     window_of: np.ndarray  # first window of each item
     windows: list[np.ndarray]
     distinctive: list[frozenset]
@@ -85,8 +87,10 @@ def prepare(rows: list[tuple[int, str]]) -> Items:
     rare = max(1, len(coded) // 50)
     distinctive = [frozenset(int(t) for t in np.unique(c) if holders[t] <= rare) for c in coded]
     need = np.array([min(RUN, len(c)) for c in coded], dtype=np.int32)
+    width = np.array([min(PASSAGE, max(RUN, len(c))) for c in coded], dtype=np.int32)
     told = np.array([-int(-PARAPHRASE * min(PASSAGE, len(c)) // 1) for c in coded], dtype=np.int32)
-    return Items([i for i, _ in split], vocabulary, texts, need, told, np.array(first, dtype=np.int64), windows, distinctive)
+    held = np.maximum(1, told - (width - RUN) // 2)
+    return Items([i for i, _ in split], vocabulary, texts, need, width, told, held, np.array(first, dtype=np.int64), windows, distinctive)
 
 
 def passages_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,16 +149,16 @@ def stretches(batch: pa.RecordBatch, doc: np.ndarray, first: np.ndarray, width:
     return np.where(inside, flat[np.clip(place, 0, max(len(flat) - 1, 0))] if len(flat) else -2, -2).astype(np.int32)
 
 
-def possible(held: np.ndarray, need: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each passage and item whether the words can do for a case, and for a paraphrase. held (passages x words x items): is the word in the item.
+def possible(held: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """For each passage and item whether the words can do for a case, which needs a run of words that the item has.
 
-    A case needs a run of words that the item has, a paraphrase enough of them, but for those outside of the passage.
+    held (passages x words x items): is the word in the item.
     """
     now = best = np.zeros((held.shape[0], held.shape[2]), dtype=np.uint8)
     for j in range(held.shape[1]):
         now = (now + 1) * held[:, j]
         best = np.maximum(best, now)
-    return best >= need, held.sum(axis=1, dtype=np.uint8) >= np.maximum(1, told - OUTSIDE)
+    return best >= need
 
 
 def common(passages: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +238,7 @@ def _search(coded: DataFrame, items: Items, tau: float, rank: int, seed: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, idf, basis, latent = sent.value
         item_ids = np.array(items.item_ids, dtype=np.int64)
-        least, few = int(items.need.min()), max(1, int(items.told.min()) - OUTSIDE)
+        least, few = int(items.need.min()), int(min(items.held.min(), items.need.min()))
         holds = np.zeros((len(items.vocabulary) + 2, len(item_ids)), dtype=np.uint8)  # the last two rows are for -1 and -2
         enough = tau * np.sqrt(items.need / RUN)  # a short item makes up less of a passage
         for i, text in enumerate(items.texts):
@@ -257,15 +261,21 @@ def _search(coded: DataFrame, items: Items, tau: float, rank: int, seed: int) ->
 
         for batch in batches:
             doc, at, table = passage_words(batch)
-            keep = (longest_run_known(table) >= least) | ((table >= 0).sum(axis=1) >= few)
+            keep = (table >= 0).sum(axis=1) >= few
             doc, at, table = doc[keep], at[keep], table[keep]
+            running = longest_run_known(table) >= least
             doc_ids = batch.column("doc_id").to_numpy()
             for k in range(0, len(table), ROWS):
-                some, of, begin = table[k : k + ROWS], doc[k : k + ROWS], at[k : k + ROWS]
+                some = table[k : k + ROWS]
+                near = holds[some].sum(axis=1, dtype=np.uint8) >= items.held
+                worth = np.flatnonzero(near.any(axis=1) | running[k : k + ROWS])
+                if not len(worth):
+                    continue
+                some, near, of, begin, runs = some[worth], near[worth], doc[k + worth], at[k + worth], np.flatnonzero(running[k + worth])
                 z = unit(project(*weighted(some, idf), basis)).astype(np.float32)
                 cosine = np.maximum.reduceat(z @ latent.T, items.window_of, axis=1)
-                case, near = possible(holds[some], items.need, items.told)
-                p, i = np.nonzero(case)
+                p, i = np.nonzero(possible(holds[some[runs]], items.need))
+                p = runs[p]
                 for c in range(0, len(p), 4096):
                     pc, ic = p[c : c + 4096], i[c : c + 4096]
                     lcs, long = common(some[pc], items.texts[ic])
@@ -276,13 +286,14 @@ def _search(coded: DataFrame, items: Items, tau: float, rank: int, seed: int) ->
                 p, i = np.nonzero(near & (cosine >= enough))
                 for c in range(0, len(p), 4096):
                     pc, ic = p[c : c + 4096], i[c : c + 4096]
-                    # a stretch that meets the passage in its greater part lies in these words
+                    # every stretch of which the passage holds enough lies in these words
                     good = common(stretches(batch, of[pc], begin[pc] - OUTSIDE, PASSAGE + 2 * OUTSIDE), items.texts[ic])[0] >= items.told[ic]
                     pc, ic = pc[good], ic[good]
                     if not len(pc):
                         continue
-                    shifts = np.arange(-OUTSIDE, OUTSIDE + 1)
+                    shifts = np.arange(-OUTSIDE, PASSAGE - RUN + OUTSIDE + 1)
                     each = stretches(batch, np.repeat(of[pc], len(shifts)), (begin[pc][:, None] + shifts).ravel(), PASSAGE)
+                    each[np.arange(PASSAGE) >= np.repeat(items.width[ic], len(shifts))[:, None]] = -2
                     lcs, long = (x.reshape(len(pc), len(shifts)) for x in common(each, np.repeat(items.texts[ic], len(shifts), axis=0)))
                     row, shift = np.nonzero(lcs >= items.told[ic][:, None])
                     if len(row):
@@ -308,9 +319,9 @@ def leaks(
 
     Result, one row per (doc_id, item_id): ``cosine`` (greatest), ``lcs`` and ``run`` (words in common, in order and in a
     row, of the best passage), ``answer`` (share of the item's distinctive words named, 4 at most counted), ``verbatim``
-    (13 words in a row, or the whole of a shorter item). Rows that aren't verbatim are paraphrases: 26 words in a row of the
-    document have at least ``PARAPHRASE`` of the item's words (of 26, if they are more) in order, and ``ANSWER`` of its
-    distinctive ones. Whether an item is found doesn't depend on the other items but through the weights of words.
+    (13 words in a row, or the whole of a shorter item). Rows that aren't verbatim are paraphrases: a stretch of the
+    document, as long as the item but of 13 words at least and 26 at most, has at least ``PARAPHRASE`` of the item's words
+    (of 26, if they are more) in order, and ``ANSWER`` of its distinctive ones. Whether an item is found doesn't depend on the other items but through the weights of words.
 
     Null and empty texts and texts without a word give no rows; neither do items without a word. Repeated documents or
     items count once; rows that share an id are taken together. Texts of any length are processed whole. Empty tables

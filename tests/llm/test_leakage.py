@@ -79,7 +79,7 @@ def lcs_of(a, b):
 
 
 def paraphrased(docs, items):
-    """All pairs of which 26 words of the document, wherever they begin, hold enough of the item in order and name it, but no case."""
+    """All pairs of which a stretch of the document, wherever it begins, holds enough of the item in order and names it, but no case."""
     out = set()
     holders = Counter(w for _, it in items for w in set(words(it)))
     cases = set(brute(docs, items))
@@ -91,7 +91,8 @@ def paraphrased(docs, items):
             own = {x for x in v if holders[x] <= max(1, len(items) // 50)}
             if (d, i) in cases or len(own & set(w)) < 0.5 * min(4, len(own)):
                 continue
-            stretches = (w[s : s + 26] for s in range(max(1, len(w) - 25)))
+            width = min(26, max(13, len(v)))
+            stretches = (w[s : s + width] for s in range(max(1, len(w) - width + 1)))
             if any(sum(x in v for x in s) >= need and len(own & set(s)) >= 0.5 * max(1, min(4, len(own))) and lcs_of(s, v) >= need for s in stretches):
                 out.add((d, i))
     return out
