@@ -41,6 +41,8 @@ ROWS = 128
 PARAPHRASE = 0.7
 #: ... of one that begins anywhere some passage holds all but so many words at most.
 OUTSIDE = PASSAGE // 2 - RUN // 2 - 1
+#: Places at which such a stretch may begin.
+STARTS = PASSAGE - RUN + 2 * OUTSIDE + 1
 #: ... and names this share of the distinctive words of the nearest window.
 ANSWER = 0.5
 
@@ -161,6 +163,14 @@ def possible(held: np.ndarray, need: np.ndarray) -> np.ndarray:
     return best >= need
 
 
+def held_from(held: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The words held in the stretch of each row's width that begins at each word. held (rows x words): is the word in the item."""
+    summed = np.zeros((held.shape[0], held.shape[1] + 1), dtype=np.int16)
+    np.cumsum(held, axis=1, out=summed[:, 1:])
+    ends = np.minimum(np.arange(held.shape[1]) + width[:, None], held.shape[1])
+    return np.take_along_axis(summed, ends, axis=1) - summed[:, :-1]
+
+
 def common(passages: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Longest common subsequence and longest common run of paired rows of word ids (negative never matches)."""
     n, width = passages.shape
@@ -238,11 +248,13 @@ def _search(coded: DataFrame, items: Items, tau: float, rank: int, seed: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, idf, basis, latent = sent.value
         item_ids = np.array(items.item_ids, dtype=np.int64)
-        least, few = int(items.need.min()), int(min(items.held.min(), items.need.min()))
+        least = int(items.need.min())
         holds = np.zeros((len(items.vocabulary) + 2, len(item_ids)), dtype=np.uint8)  # the last two rows are for -1 and -2
         enough = tau * np.sqrt(items.need / RUN)  # a short item makes up less of a passage
         for i, text in enumerate(items.texts):
             holds[text[text >= 0], i] = 1
+        # of the items that ask for the same number of words, the words of any
+        some_of = [(h, holds[:, items.held == h].any(axis=1)) for h in np.unique(items.held)]
 
         def out(doc_ids, item, cosine, lcs, long, told, full) -> pa.RecordBatch:
             """Rows of pairs; told: the words among which the distinctive ones are looked for."""
@@ -261,9 +273,11 @@ def _search(coded: DataFrame, items: Items, tau: float, rank: int, seed: int) ->
 
         for batch in batches:
             doc, at, table = passage_words(batch)
-            keep = (table >= 0).sum(axis=1) >= few
-            doc, at, table = doc[keep], at[keep], table[keep]
             running = longest_run_known(table) >= least
+            keep = running.copy()
+            for h, own in some_of:
+                keep |= own[table].sum(axis=1) >= h
+            doc, at, table, running = doc[keep], at[keep], table[keep], running[keep]
             doc_ids = batch.column("doc_id").to_numpy()
             for k in range(0, len(table), ROWS):
                 some = table[k : k + ROWS]
@@ -276,30 +290,36 @@ def _search(coded: DataFrame, items: Items, tau: float, rank: int, seed: int) ->
                 cosine = np.maximum.reduceat(z @ latent.T, items.window_of, axis=1)
                 p, i = np.nonzero(possible(holds[some[runs]], items.need))
                 p = runs[p]
+                told = np.zeros(near.shape, dtype=bool)  # a case is no paraphrase
                 for c in range(0, len(p), 4096):
                     pc, ic = p[c : c + 4096], i[c : c + 4096]
                     lcs, long = common(some[pc], items.texts[ic])
                     good = long >= items.need[ic]
                     if good.any():
                         pc, ic = pc[good], ic[good]
+                        told[pc, ic] = True
                         yield out(doc_ids[of[pc]], ic, cosine[pc, ic], lcs[good], long[good], some[pc], np.ones(len(pc), dtype=bool))
-                p, i = np.nonzero(near & (cosine >= enough))
+                p, i = np.nonzero(near & (cosine >= enough) & ~told)
                 for c in range(0, len(p), 4096):
                     pc, ic = p[c : c + 4096], i[c : c + 4096]
                     # every stretch of which the passage holds enough lies in these words
-                    good = common(stretches(batch, of[pc], begin[pc] - OUTSIDE, PASSAGE + 2 * OUTSIDE), items.texts[ic])[0] >= items.told[ic]
-                    pc, ic = pc[good], ic[good]
-                    if not len(pc):
+                    wide = stretches(batch, of[pc], begin[pc] - OUTSIDE, PASSAGE + 2 * OUTSIDE)
+                    enough_from = held_from(holds[wide, ic[:, None]], items.width[ic])[:, :STARTS] >= items.told[ic][:, None]
+                    good = enough_from.any(axis=1)
+                    if good.any():
+                        good[good] = common(wide[good], items.texts[ic[good]])[0] >= items.told[ic[good]]
+                    row, shift = np.nonzero(enough_from & good[:, None])
+                    if not len(row):
                         continue
-                    shifts = np.arange(-OUTSIDE, PASSAGE - RUN + OUTSIDE + 1)
-                    each = stretches(batch, np.repeat(of[pc], len(shifts)), (begin[pc][:, None] + shifts).ravel(), PASSAGE)
-                    each[np.arange(PASSAGE) >= np.repeat(items.width[ic], len(shifts))[:, None]] = -2
-                    lcs, long = (x.reshape(len(pc), len(shifts)) for x in common(each, np.repeat(items.texts[ic], len(shifts), axis=0)))
-                    row, shift = np.nonzero(lcs >= items.told[ic][:, None])
-                    if len(row):
-                        there = each.reshape(len(pc), len(shifts), PASSAGE)[row, shift]
-                        pc, ic = pc[row], ic[row]
-                        yield out(doc_ids[of[pc]], ic, cosine[pc, ic], lcs[row, shift], long[row, shift], there, np.zeros(len(row), dtype=bool))
+                    pc, ic = pc[row], ic[row]
+                    place = shift[:, None] + np.arange(PASSAGE)
+                    there = wide[row[:, None], np.minimum(place, wide.shape[1] - 1)]
+                    there[(np.arange(PASSAGE) >= items.width[ic][:, None]) | (place >= wide.shape[1])] = -2
+                    lcs, long = common(there, items.texts[ic])
+                    good = lcs >= items.told[ic]
+                    if good.any():
+                        pc, ic = pc[good], ic[good]
+                        yield out(doc_ids[of[pc]], ic, cosine[pc, ic], lcs[good], long[good], there[good], np.zeros(len(pc), dtype=bool))
 
     return coded.mapInArrow(run, "doc_id bigint, item_id bigint, cosine double, lcs int, run int, answer double, verbatim boolean")
 
