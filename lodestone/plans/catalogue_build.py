@@ -59,7 +59,7 @@ def k_fingerprint(spark, sf_dir):
 
 def a_families(spark, sf_dir):
     files = repo_files(spark, sf_dir)
-    return files.groupBy("repo_id", artifacts.family(F.col("path"), F.col("contents")).alias("family")).agg(F.count(F.lit(1)).alias("files"))
+    return artifacts.families(files.select("repo_id", "path", "contents")).groupBy("repo_id", "family").agg(F.count(F.lit(1)).alias("files"))
 
 
 def a_elements(spark, sf_dir):
@@ -163,8 +163,29 @@ roles AS ({' UNION ALL '.join(f"SELECT repo_id, node_id, '{r}' AS role, CASE WHE
 
 
 def _region_role(path: str) -> str:
-    cases = " ".join(f"WHEN regexp_matches({path}, '{p.removeprefix('(?i)')}', 'i') THEN '{r}'" for r, p in paths.REGION_ROLES)
-    return f"CASE {cases} ELSE 'production' END"
+    """The role of a path; every word as TESTDATA's paths and the statement of the rule have it."""
+    segments = f"string_split(lower({path}), '/')"
+    top = f"lower(string_split({path}, '/')[1])"
+    parted = f"lower(regexp_replace(string_split({path}, '/')[1], '([a-z0-9])([A-Z])', '\\1-\\2', 'g'))"
+    samples = "sample|samples|starter|starters|template|templates|cookbook|cookbooks|recipe|recipes|tutorial|tutorials|walkthrough|walkthroughs|lab|labs|kata|katas|exercise|exercises"
+    ends = "sample|samples|architecture|architectures|practice|practices|tutorial|tutorials|example|examples|demo|demos|lab|labs|walkthrough|walkthroughs"
+    prose = "wiki|guide|guides|manual|handbook|article|articles|blog|notebook|notebooks"
+
+    def tops(pattern: str) -> str:
+        return f"(regexp_full_match({top}, '{pattern}') OR regexp_full_match({parted}, '{pattern}'))"
+
+    def any_of(words: str, dot: bool = True) -> str:
+        return f"len(list_filter({segments}, lambda s: regexp_full_match(s, '{'[.]?' if dot else ''}({words})([_-][a-z0-9_-]+)?'))) > 0"
+
+    return f"""CASE WHEN list_has_any({segments}, ['dist', 'build', 'out', 'target', 'lib-esm', 'coverage']) THEN 'generated'
+  WHEN {tops(samples)} OR {tops(f'[a-z0-9_]+[_-]({ends})')} THEN 'sample' WHEN {tops('[a-z0-9_]*[_-]?deployments?')} THEN 'deployment' WHEN {tops(prose)} THEN 'documentation'
+  WHEN {any_of('generated|gen|__generated__|[.]next|flow-typed|typings|@types')} THEN 'generated' WHEN {any_of('node_modules|vendor|vendored|third_party|thirdparty|submodule|submodules')} THEN 'vendored'
+  WHEN {any_of('ci|github|circleci|gitlab-ci|azure-pipelines|azure_pipelines|travis|jenkins|buildkite|appveyor|woodpecker|drone')} THEN 'ci' WHEN {any_of('benchmark|benchmarks|bench|performance')} THEN 'benchmark'
+  WHEN {any_of('example|examples|demo|demos|playground')} THEN 'example' WHEN {any_of('test|tests|testing|__tests__|spec|specs|testdata|fixture|fixtures|e2e')} THEN 'test'
+  WHEN {any_of('doc|docs|website|documentation|image|images|asset|assets|media|screenshot|screenshots')} THEN 'documentation'
+  WHEN {any_of('deploy|deployment|deployments|infra|infrastructure|terraform|helm|chart|charts|k8s|kubernetes|ansible|pulumi|cloudformation')} THEN 'deployment'
+  WHEN {any_of('migration|migrations|alembic|liquibase|flyway')} THEN 'migration' WHEN {any_of('[.]vscode|[.]idea|[.]devcontainer|[.]husky|config|configs|conf', False)} THEN 'configuration'
+  WHEN {any_of('script|scripts|tooling|automation')} THEN 'script' ELSE 'production' END"""
 
 
 _SIGNALS = f"""{METRICS_SQL}, {_ROLES}, {PLACES},

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.values import bare
 from lodestone.functions.vocabulary import CONFIDENCES, COUPLING, DECLARATIONS
-from lodestone.plans.staging import join_small
+from lodestone.plans.staging import join_small, stage
 from lodestone.plans.standing import standing
-from lodestone.sources.tables import table
+from lodestone.sources.tables import state, table
 
 
 def is_declaration(kind: str | Column = "kind") -> Column:
@@ -64,7 +64,7 @@ class Graph:
         )
 
 
-def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
+def standing_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Edges are delivered more than once and with blanks around targets; of nodes the row with the greatest loaded_at stands."""
     edges = (
         table(spark, sf_dir, "edges")
@@ -96,6 +96,21 @@ def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, edges)
 
 
+_STAGED: dict[tuple, Graph] = {}
+
+
+def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The standing graph, staged once for a session and a state of the tables, so that queries read what they need of it.
+
+    A state is told by the size and time of ``nodes`` and ``edges``; a table that is delivered anew is staged anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, *[state(spark, sf_dir, t) for t in ("nodes", "edges")])
+    if key not in _STAGED:
+        graph = standing_graph(spark, sf_dir)
+        _STAGED[key] = Graph(stage(graph.nodes), stage(graph.edges))
+    return _STAGED[key]
+
+
 #: The same graph in DuckDB: g_edges and g_nodes.
 GRAPH_SQL = """
 WITH g_edges AS (

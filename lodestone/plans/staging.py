@@ -38,10 +38,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one is made only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset a local one is made in local mode; a cluster is refused."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     known = getattr(shared_dir, "local", None)
     if known is None:
         known = tempfile.mkdtemp(prefix="lodestone-")

@@ -32,7 +32,7 @@ def test_paths(spark, path, language, role, ecosystem):
 
 
 def test_region_role(spark):
-    for path, role in (("src/a.ts", "production"), ("vendor/x/a.js", "vendored"), ("benchmarks/tests/a.py", "benchmark"), ("a/dist/x.js", "generated"), (".github/workflows/a.yml", "ci")):
+    for path, role in (("AzureSamples/a.ts", "sample"), ("ai100-samples/x.py", "sample"), ("AzureDeployment/a.py", "deployment"), ("src/samples/a.java", "production"), ("docs_src/a.py", "documentation"), (".config/a", "production"), ("config/a", "configuration"), ("x/.next/a.js", "generated"), ("wiki/a.md", "documentation"), ("src/a.ts", "production"), ("vendor/x/a.js", "vendored"), ("benchmarks/tests/a.py", "benchmark"), ("a/dist/x.js", "generated"), (".github/workflows/a.yml", "ci")):
         assert spark.range(1).select(paths.region_role(F.lit(path))).first()[0] == role, path
 
 
@@ -95,7 +95,7 @@ ARTEFACTS = [
 
 def test_artefacts(spark):
     files = spark.createDataFrame([(1, p, c) for p, c, _, _ in ARTEFACTS] + [(1, "null.md", None), (1, "empty.md", "")], "repo_id bigint, path string, contents string")
-    families = {r.path: r.f for r in files.select("path", artifacts.family(F.col("path"), F.col("contents")).alias("f")).collect()}
+    families = {r.path: r.family for r in artifacts.families(files).collect()}
     got: dict = {}
     for r in artifacts.elements(files).collect():
         got.setdefault(r.path, set()).add((r.kind, r.name))
@@ -115,8 +115,17 @@ def test_paths_in_texts(spark):
     c = lambda t, at="a/b.yml": one(spark, artifacts.path_candidates(F.col("t"), F.lit(at)), t=t)
     assert c("./x.sh") == ["a/x.sh"] and c("../y/x.sh") == ["y/x.sh"] and c("../../x.sh") == []
     assert c("x/y.sh") == ["x/y.sh", "a/x/y.sh"] and c("make") == [] and c("http://a/b.sh") == [] and c("x y.sh") == [] and c("z.py#1") == ["z.py", "a/z.py"]
-    assert one(spark, artifacts.environment_names(F.col("t")), t="${{ secrets.A }} ${B} $C $d") == ["A", "B", "C"]
-    assert one(spark, artifacts.invoked_paths(F.col("t")), t="cd x && bash ./run.sh a; node b/c.js | tee") == ["./run.sh", "b/c.js"]
+    assert one(spark, artifacts.environment_names(F.col("t")), t="${{ secrets.A }} ${B} ${D:-x} ${E $F $low ${low} $LONG ${{ vars.lower }}") == ["A", "B", "D", "LONG"]
+    assert one(spark, artifacts.invoked_paths(F.col("t"), F.lit("ci.yml")), t="cd x.sh && bash ./run.sh -e a; node b/c.js | ./tee.sh d.txt\nnpm run build.js") == ["./run.sh", "b/c.js", "./tee.sh", "d.txt"]
+
+
+def test_tool_configuration(spark):
+    names = ["tsconfig.json", ".eslintrc", ".eslintrc.json", "a/jest.config.js", "x.conf.yaml", "package.json", ".env.local", "env.example", "k.yaml", "src/a.ts"]
+    files = spark.createDataFrame([(1, n, "a: 1\n") for n in names] + [(1, None, "x")], "repo_id bigint, path string, contents string")
+    got = {r.path: r.family for r in artifacts.families(files).collect()}
+    tool, env = "tool-configuration", "environment-configuration"
+    assert [got[n] for n in names] == [tool, tool, tool, tool, tool, "package-manifest", env, env, "data", "unknown-artifact"] and got[None] == "unknown-artifact"
+    assert artifacts.families(files.limit(0)).collect() == []
     found = spark.createDataFrame([(1, "a/b.yml", "./x.sh"), (1, "a/b.yml", "q/z.py"), (1, "a/b.yml", "make")], "repo_id bigint, path string, text string")
     files = spark.createDataFrame([(1, "a/x.sh"), (1, "a/q/z.py")], "repo_id bigint, path string")
     assert rows(artifacts.resolved_references(found, files).select("text", "target")) == [("./x.sh", "a/x.sh"), ("make", None), ("q/z.py", "a/q/z.py")]
