@@ -203,6 +203,24 @@ scored AS (SELECT repo_id, kind, id, sum(value / peak * {_map({k: str(v) for k,
 _TREE = f"""places2 AS (SELECT repo_id, id, file_id, kind, {"array_to_string(list_slice(string_split(regexp_replace(file_id, '^file:', ''), '/'), 1, 2), '/')"} AS package FROM g_nodes WHERE kind IN {DECL} AND file_id IS NOT NULL)"""
 _MEMBERS = f"""d AS (SELECT repo_id, id, file_id, kind, name, string_split(coalesce(container_chain, name), '.') AS chain FROM g_nodes WHERE kind IN {DECL} AND file_id IS NOT NULL)"""
 
+_CLAIMS = r"""WITH parts AS (
+  SELECT doc_id AS answer_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z`"''\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 12) AS ss
+  FROM documents WHERE text IS NOT NULL),
+s AS (SELECT answer_id, i - 1 AS position, ss[i] AS sentence, ' ' || trim(regexp_replace(lower(ss[i]), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS w
+  FROM parts, unnest(range(1, len(ss) + 1)) AS t(i)),
+k AS (SELECT *, CASE
+  WHEN regexp_matches(w, ' (there (is|are) no|(has|have) no|(does|do) not (have|use|contain|implement)|lacks|without any) ') THEN 'absence-as-nonexistence'
+  WHEN regexp_matches(w, ' (well (documented|tested|structured|organised|organized|maintained|architected|factored)|best (practice|practices)|(standard|modern) conventions|(high|good|excellent|poor|low) (quality|test coverage)|clean architecture|idiomatic (code|structure)|production ready|thoroughly (tested|documented)) ') THEN 'presence-as-quality'
+  WHEN regexp_matches(w, '^ (start|begin|read|open|look at) ') OR regexp_matches(w, ' ((you|readers|newcomers|anyone new|someone new) (should|could|can|will want to|would want to) (start|begin|read|open|look at)|recommend (starting|beginning|reading)|place to start|starting point|start (here|by reading|with the)) ') THEN 'recommendation-without-evidence'
+  WHEN regexp_matches(w, ' (the (core|centre|center|heart|hub|backbone|foundation|linchpin)|(as|is) the (core|heart|backbone|foundation) of|most important|the (central|key|main|primary) (component|module|piece|abstraction)|architecturally central|(serves|acts) as (a|the) (bridge|hub|backbone)) ') THEN 'prominence-as-importance'
+  WHEN regexp_matches(w, ' ((begin|begins|start|starts) (with|at|from|by)|then (call|calls|invokes|runs|passes|hands)|first (calls|runs|invokes)|followed by|next (it|the)|triggers?|kicks off|orchestrates?|before|after|precedes?) ') THEN 'execution-order'
+  WHEN regexp_matches(w, ' (authenticate|authenticates|authenticated|authentication|authori[sz](e|es|ed|ation)|logs? in|logged in|login flow|sign in|access control|permissions?|identity provider) ') THEN 'secrets-as-authentication'
+  WHEN regexp_matches(w, ' (caches|persists|stores (data|its data)|queues|validates|(is )?responsible for|handles (requests|errors|events)) ') THEN 'presence-as-behaviour'
+  WHEN regexp_matches(w, ' (runs? (on|in|every|nightly|daily)|is deployed to|deploys? to|executes? (on|when)|is scheduled) ') THEN 'configuration-as-runtime' END AS kind
+  FROM s WHERE NOT regexp_matches(w, ' not (established|observed|recorded|detected|determined|confirmed|found|identified) '))
+SELECT answer_id, position, sentence, kind,
+  CASE WHEN regexp_matches(w, ' (may|might|could|would|(appears?|seems?) (to|that)|suggests?|likely|probably|possibly|presumably|apparently) ') THEN 'inferred' ELSE 'unsupported' END AS strength
+FROM k WHERE kind IS NOT NULL"""
 _B = {
     "s_classified": (s_classified, f"{_CLASSIFIED} SELECT * FROM c"),
     "r_regions": (r_regions, f"{_STANDING_PATHS}, {_REGIONS} SELECT * FROM placed"),
@@ -291,7 +309,7 @@ SELECT repo_id, external_kind, CASE WHEN starts_with(n, '@') THEN string_split(n
     "c_projection": (on_graph(_projection), None),
     "c_omissions": (on_graph(_omissions), None),
     "c_grounding": (c_grounding, None),
-    "c_claims": (c_claims, None),
+    "c_claims": (c_claims, _CLAIMS),
     "m_confidences": (
         on_graph(quality.confidences),
         f"{GRAPH_SQL} SELECT repo_id, type, {', '.join(f'count(*) FILTER (confidence = {chr(39)}{c}{chr(39)}) AS {c.lower()}' for c in CONFIDENCES)} FROM g_edges GROUP BY 1, 2",
