@@ -2,7 +2,7 @@ import random
 from datetime import datetime
 
 from lodestone.llm.layout import Layout
-from lodestone.llm.provenance import ascribed_to, copied_codes, foreign_files, shingles
+from lodestone.llm.provenance import ascribed_to, copied_codes, foreign_files, heading, layout_kind, shingles
 
 from ..conftest import rows
 
@@ -118,3 +118,17 @@ def test_links_between_members_that_do_not_lead(spark):
     df = spark.createDataFrame(data, "repo_id bigint, shingles array<bigint>, bands array<bigint>")
     ids = {r[0] for r in spark.createDataFrame([(w,) for w in want], "s array<bigint>").selectExpr("xxhash64(s)").collect()}
     assert ids <= {r[0] for r in copied_codes(df).collect()}
+
+
+def test_headings_of_any_length_and_small_files():
+    text = "".join(f"// line {i}\n" for i in range(8)) + "// otherlib v1.2.3 | (c) The otherlib Authors\nexport const a = b;\n// not of the heading\n"
+    head = heading(text, Layout(text, "js").comments)
+    assert len(head) == 9 and ascribed_to(head) == {"otherlib"}
+    small = "".join(f"var a{i}=b({i});" for i in range(40))[:380]
+    assert layout_kind(Layout(small, "js"), []) in ("minified", "generated")
+    assert layout_kind(Layout("export const X = [" + ", ".join(str(i * 7919) for i in range(40)) + "];\n", "js"), []) == "data"
+
+
+def test_short_copies(spark):
+    code = "export const limit = (a, b) => clamp(a, b, floor, ceiling);\n"
+    assert kinds(spark, [(1, "x", "x.js", code), (2, "y", "y.js", code), (3, "z", "z.js", "export * from 'm';\n"), (1, "w", "w.js", "export * from 'm';\n")]) == {(1, "x"): "vendored", (2, "y"): "vendored"}
